@@ -1 +1 @@
-""""""
+"""Part of hushql."""

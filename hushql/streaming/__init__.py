@@ -1 +1 @@
-""""""
+"""Reserved: the query language has no streaming operators."""
