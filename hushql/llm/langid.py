@@ -117,6 +117,8 @@ class Model:
             return ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
         p, letters = self.scores(texts)
         best, top = p.argmax(1), p.max(1)
+        # Marks alone make subwords too, but no letter.
+        letters &= np.array([any(map(str.isalpha, t)) for t in texts], bool)
         names = [self.languages[b] if has else "und" for b, has in zip(best, letters)]
         score = np.where(letters, top, 0.0)
         return names, score.tolist(), (~letters | (top < reject_below)).tolist()
