@@ -167,5 +167,6 @@ def dedup(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
     grouped = joined.join(classes, "root", "left_semi")
     ids = grouped.groupBy("root").agg(F.min("low").alias("component_id"))
     member = cut(grouped.join(ids, "root").select("fp", "component_id"))
-    own = least.join(member, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
+    # A checkpoint of one row per distinct fingerprint: the last join then stands on two plain shuffles, of which Spark can split a hot fingerprint's.
+    own = cut(least.join(member, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")))
     return prints.join(own, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
