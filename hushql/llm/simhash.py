@@ -162,11 +162,8 @@ def dedup(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
     prints = cut(docs.select("doc_id", simhash(whole_text(), words).alias("fp")))
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
     roots = components(linked(least.select("fp"), bits))
-    joined = least.join(roots, least["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    classes = joined.where("root <> fp or root is null").select("root").distinct()
-    grouped = joined.join(classes, "root", "left_semi")
-    ids = grouped.groupBy("root").agg(F.min("low").alias("component_id"))
-    member = cut(grouped.join(ids, "root").select("fp", "component_id"))
-    # A checkpoint of one row per distinct fingerprint: the last join then stands on two plain shuffles, of which Spark can split a hot fingerprint's.
-    own = cut(least.join(member, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")))
+    # Checkpoints between the joins: each then stands on plain shuffles, of which Spark can split a hot fingerprint's or component's.
+    member = cut(least.join(roots, least["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root")))
+    ids = cut(member.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    own = cut(member.join(ids, "root", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")))
     return prints.join(own, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
