@@ -19,9 +19,9 @@ from hushql.sources.tables import load
 THRESHOLD = 3
 
 
-def session(spark: SparkSession, sf_dir: str, **more) -> Session:
+def session(spark: SparkSession, sf_dir: str, sql: str | None = None, **more) -> Session:
     config = Config(salt="public benchmark salt", strict=False, noise_layer_sd=0.0, low_count_layer_sd=0.0, outlier_count_max=1, top_count_max=3, session_access_level="anonymized_trusted", **more)
-    return Session(spark, load(spark, sf_dir), config)
+    return Session(spark, load(spark, sf_dir, sql), config)
 
 
 @dataclass
@@ -88,7 +88,7 @@ class Truth:
 
 
 def _q(sql: str, truth: str | None, **config) -> tuple[Callable, str | None]:
-    return (lambda spark, sf_dir: session(spark, sf_dir, **config).sql(sql)), truth
+    return (lambda spark, sf_dir: session(spark, sf_dir, sql, **config).sql(sql)), truth
 
 
 _SEG, _STATUS = ("c_mktsegment", True), ("o_orderstatus", True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import SparkSession
 
 from hushql.labels import Catalog
@@ -10,13 +12,14 @@ PERSONAL = {"customer": ["c_custkey"], "orders": ["o_custkey"], "lineitem": ["l_
 PUBLIC = ["region", "nation", "part"]
 
 
-def load(spark: SparkSession, sf_dir: str) -> Catalog:
-    """Register the tables as views and label them."""
+def load(spark: SparkSession, sf_dir: str, sql: str | None = None) -> Catalog:
+    """Register the tables as views and label them; given a statement, those that it names."""
     catalog = Catalog(spark)
-    for name in [*PERSONAL, *PUBLIC]:
+    names = [name for name in [*PERSONAL, *PUBLIC] if sql is None or re.search(rf"\b{name}\b", sql, re.IGNORECASE)]
+    for name in names:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-    for name, aids in PERSONAL.items():
-        catalog.mark_personal(name, *aids)
-    for name in PUBLIC:
-        catalog.mark_public(name)
+        if name in PERSONAL:
+            catalog.mark_personal(name, *PERSONAL[name])
+        else:
+            catalog.mark_public(name)
     return catalog
