@@ -1,8 +1,9 @@
 """Secret scanning with linking of credential parts, in built-in expressions only.
 
-Base kinds: assignments, access identifiers and long hex runs. Linking adds parts that are weak alone: an unnamed secret
-of 40 characters, an account name and an endpoint. A weak part is reported only where a complementary part lies in its scope, that is
-within SCOPE code points: a secret near an access identifier, an endpoint near an identifier or secret, an account near an endpoint or a secret.
+Base kinds: assignments, access identifiers and long hex runs. Linking adds parts that are weak alone: an unnamed secret, an
+account name and an endpoint. A weak part is reported only where a complementary part lies in its scope, that is in its paragraph (blank
+lines end one) or within SCOPE code points: a secret near an access identifier, endpoint or account, an endpoint near an identifier, secret
+or account, an account near an endpoint or a secret. A run inside an endpoint or account is no complement of it, save one of 40 characters.
 Scopes are joined as intervals inside the row: nothing is shuffled, no pair is emitted.
 
 Places are code points, ends exclusive. Null texts count as empty. Repeated rows give repeated results. Texts may be of any length.
@@ -20,11 +21,13 @@ KEYWORD = "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][C
 ASSIGN = KEYWORD + "[\"\\x27]?\\x20*[:=]\\x20*[\"\\x27]?([A-Za-z0-9+/_.=-]+)"
 ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
-#: Weak alone. Their runs are whole: nothing of the same letters stands at either side.
-SECRET = "(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])"
+#: Weak alone. Its runs are whole: nothing of the same letters stands at either side. Below 32 characters a letter and a digit tell one from a long word.
+SECRET = "(?<![A-Za-z0-9+/=])(?:(?=[A-Za-z+/]*+[0-9])(?=[0-9+/]*+[A-Za-z])[A-Za-z0-9+/]{20,}+|[A-Za-z0-9+/]{32,}+)={0,2}+(?![A-Za-z0-9+/=])"
 ACCOUNT = "(?:user(?:name)?|login|account)[\"\\x27]?\\x20{0,3}[:=]\\x20{0,3}[\"\\x27]?[A-Za-z0-9_.@-]{3,64}"
 ENDPOINT = "(?:https?|ftp|jdbc:[a-z]{2,16}|postgres|mysql|mongodb|redis|amqp)://[A-Za-z0-9_.:@/-]{4,200}"
-KINDS = ("assign", "access", "hex", "secret", "account", "endpoint")
+BREAK = "\\n[\\x20\\t\\r]*\\n"
+KINDS = ("assign", "access", "hex", "secret", "account", "endpoint", "break")
+SECRET_K = KINDS.index("secret")
 SPAN = "struct<s:int,k:int,e:int>"
 
 
@@ -49,11 +52,17 @@ def found(docs: DataFrame) -> DataFrame:
     rows = docs.select("*", whole_text().alias("text_"))
     rows = rows.select("*", spans("assign", ASSIGN, f"length(regexp_extract(x.m, {_quoted(ASSIGN)}, 2)) >= 6").alias("assign_"), spans("access", ACCESS).alias("access_"), spans("hex", HEX).alias("hex_"))
     rows = rows.select("*", spans("secret", SECRET).alias("secret_"), spans("account", ACCOUNT).alias("account_"), spans("endpoint", ENDPOINT).alias("endpoint_"))
-    near = lambda weak, *parts: F.expr(f"filter({weak}, w -> exists(concat({', '.join(parts)}), p -> p.s < w.e + {SCOPE} and p.e > w.s - {SCOPE}))")
+    weak_any = F.expr("size(secret_) + size(account_) + size(endpoint_) > 0")
+    rows = rows.withColumn("breaks_", F.when(weak_any, spans("break", BREAK)).otherwise(F.expr(f"cast(array() as array<{SPAN}>)")))
+    for weak in ("secret_", "account_", "endpoint_"):
+        low, high = "array_max(transform(filter(breaks_, b -> b.e <= w.s), b -> b.e))", "array_min(transform(filter(breaks_, b -> b.s >= w.e), b -> b.s))"
+        rows = rows.withColumn(f"{weak}in_", F.expr(f"transform({weak}, w -> named_struct('w', w, 'low', least(w.s - {SCOPE}, coalesce({low}, 0)), 'high', greatest(w.e + {SCOPE}, coalesce({high}, length(text_)))))"))
+    apart = f"(x.w.k <> {SECRET_K} and p.k <> {SECRET_K} or p.e <= x.w.s or p.s >= x.w.e or if(p.k = {SECRET_K}, p.e - p.s, x.w.e - x.w.s) = 40)"
+    near = lambda weak, *parts: F.expr(f"transform(filter({weak}in_, x -> exists(concat({', '.join(parts)}), p -> p.s < x.high and p.e > x.low and {apart})), x -> x.w)")
     named = ("assign_", "hex_", "secret_")
     return rows.select(
         "*", F.array_sort(F.concat("assign_", "access_", "hex_")).alias("base_"),
-        F.array_sort(F.concat("assign_", "access_", "hex_", near("secret_", "access_"), near("account_", "endpoint_", *named), near("endpoint_", "access_", *named))).alias("spans_"),
+        F.array_sort(F.concat("assign_", "access_", "hex_", near("secret_", "access_", "endpoint_", "account_"), near("account_", "endpoint_", *named), near("endpoint_", "access_", "account_", *named))).alias("spans_"),
     )
 
 
