@@ -23,8 +23,8 @@ ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
 #: Weak alone. Its runs are whole: nothing of the same letters stands at either side. Below 32 characters a letter and a digit tell one from a long word.
 SECRET = "(?<![A-Za-z0-9+/=])(?:(?=[A-Za-z+/]*+[0-9])(?=[0-9+/]*+[A-Za-z])[A-Za-z0-9+/]{20,}+|[A-Za-z0-9+/]{32,}+)={0,2}+(?![A-Za-z0-9+/=])"
-ACCOUNT = "(?:user(?:name)?|login|account)[\"\\x27]?\\x20{0,3}[:=]\\x20{0,3}[\"\\x27]?[A-Za-z0-9_.@-]{3,64}"
-ENDPOINT = "(?:https?|ftp|jdbc:[a-z]{2,16}|postgres|mysql|mongodb|redis|amqp)://[A-Za-z0-9_.:@/-]{4,200}"
+ACCOUNT = "(?:user(?:name)?|login|account)[\"\\x27]?\\x20{0,3}[:=]\\x20{0,3}[\"\\x27]?[A-Za-z0-9_.@-]{3,}"
+ENDPOINT = "(?:https?|ftp|jdbc:[a-z]{2,16}|postgres|mysql|mongodb|redis|amqp)://[A-Za-z0-9_.:@/-]{4,}"
 BREAK = "\\n[\\x20\\t\\r]*\\n"
 KINDS = ("assign", "access", "hex", "secret", "account", "endpoint", "break")
 SECRET_K = KINDS.index("secret")

@@ -23,3 +23,9 @@ def test_links(spark):
     docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
     got = {r.doc_id: r.text for r in secrets.redacted(docs).collect()}
     assert [got[i] for i in range(len(cases))] == list(cases.values())
+
+
+def test_long_runs_are_whole(spark):
+    text = "https://host/" + "a.b/" * 300 + " login=" + "bob." * 50
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert secrets.redacted(docs).first().text == "[SECRET] [SECRET]"
