@@ -48,3 +48,14 @@ def test_edited_copies_go(spark, monkeypatch, small):
     got = corpus_pipeline.near_dedup(spark, docs, "")
     want = brute(rows)
     assert sorted(r.doc_id for r in got.collect()) == want and len(want) < len(rows) / 2
+
+
+def test_rows_of_one_id_are_apart(spark):
+    """A repeated doc_id with different texts loses no text; equal rows and near copies are still one."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=50)) for _ in range(40)]
+    rows = [(7, t, "en", "s", len(t)) for t in texts] + [(7, texts[0], "en", "s", 0), (8, texts[1], "en", "s", 0), (None, texts[2], "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert sorted(r.text for r in got if r.doc_id == 7) == sorted(texts)
+    assert sorted(r.doc_id or 0 for r in got) == [0] + [7] * 40
