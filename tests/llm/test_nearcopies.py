@@ -25,10 +25,10 @@ def brute(rows):
     return sorted({min(g) for g in group.values()})
 
 
-@pytest.mark.parametrize("small", [32, 2])
-def test_edited_copies_go(spark, monkeypatch, small):
+@pytest.mark.parametrize("room", [1024, 8])
+def test_edited_copies_go(spark, monkeypatch, room):
     """Copies with a few words replaced, which differ in more than 3 bits, chains of them, and a large group."""
-    monkeypatch.setattr(nearcopies, "SMALL", small)
+    monkeypatch.setattr(nearcopies, "ROOM", room)
     rng = random.Random(1)
     words = [f"w{i}" for i in range(3000)]
     rows = [(1, ""), (2, " "), (3, "one two"), (4, "One  two"), (5, "one three")]

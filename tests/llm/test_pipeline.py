@@ -6,8 +6,9 @@ import tiktoken
 
 import corpus_pipeline
 import public_tokenizers
-from hushql.llm import bpe, decontam, langid, simhash
+from hushql.llm import bpe, decontam, langid
 from hushql.llm.common import table
+from tests.llm.test_nearcopies import brute
 
 DATA = "/root/testdata/sf0.001"
 
@@ -17,15 +18,8 @@ def test_run(spark):
     model = langid.learn(docs)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     kept = [(d, t) for d, t in rows if not model.predict([t or ""], langid.REJECT_BELOW)[2][0]]
-    prints = [(d, t, simhash.fingerprint(t)) for d, t in kept]
-    groups = {d: {d} for d, _, _ in prints}
-    for d, _, p in prints:
-        for e, _, q in prints:
-            if (p ^ q).bit_count() <= 3 and groups[d] is not groups[e]:
-                both = groups[d] | groups[e]
-                for x in both:
-                    groups[x] = both
-    kept = [(d, t) for d, t, _ in prints if min(groups[d]) == d]
+    stay = set(brute(kept))
+    kept = [(d, t) for d, t in kept if d in stay]
     index = decontam.Index([(r.item_id, r.text) for r in table(spark, DATA, "benchmark").collect()])
     kept = [(d, t) for (d, t), leaks in zip(kept, index.leaks([t for _, t in kept])) if all(x[1] < decontam.COVERED for x in leaks)]
     theirs = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(bpe.vocabulary()), special_tokens={})
