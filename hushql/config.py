@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
-from dataclasses import dataclass, field, fields
+from dataclasses import dataclass, fields
 from enum import IntEnum
 
 
@@ -40,7 +39,7 @@ class Config:
     default_access_level: str = "direct"
     treat_unmarked_tables_as_public: bool = False
     strict: bool = True
-    salt: str = field(default_factory=lambda: str(uuid.uuid4()))
+    salt: str = ""  # empty: the catalog's
     noise_layer_sd: float = 1.0
     low_count_min_threshold: int = 3
     low_count_mean_gap: float = 2.0

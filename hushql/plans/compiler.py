@@ -25,6 +25,10 @@ DATETIME = ("date", "timestamp", "timestamp_ntz", "time")
 UNSUPPORTED = "Feature '{}' is not currently supported."
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 @dataclass
 class Column:
     table: Relation
@@ -35,7 +39,7 @@ class Column:
 
     @property
     def sql(self) -> str:
-        return f"`{self.table.alias}`.`{self.name}`"
+        return f"{quoted(self.table.alias)}.{quoted(self.name)}"
 
     @property
     def material(self) -> str:
@@ -58,7 +62,7 @@ class Compiler:
         for t in self.tables:
             personal = catalog.is_personal(t.name, config.treat_unmarked_tables_as_public)
             aids, closed = catalog.aids.get(t.name, []) if personal else [], catalog.closed.get(t.name, set())
-            self.columns += [Column(t, f.name.lower(), f.dataType.simpleString(), f.name.lower() in aids, f.name.lower() not in closed) for f in self.spark.table(t.name).schema]
+            self.columns += [Column(t, f.name.lower(), f.dataType.simpleString(), f.name.lower() in aids, f.name.lower() not in closed) for f in self.spark.table(t.sql).schema]
         self.aids = [c for c in self.columns if c.aid]
         self.families: list[Family] = []
         self.args: dict[str, str] = {}
@@ -337,12 +341,12 @@ class Compiler:
 
     def source(self, node) -> str:
         if isinstance(node, Relation):
-            return f"{node.name} AS `{node.alias}`"
+            return f"{node.sql} AS {quoted(node.alias)}"
         left, right = self.source(node.left), self.source(node.right)
         if node.natural:
             return f"{left} NATURAL {node.how} JOIN {right}"
         if node.using:
-            return f"{left} {node.how} JOIN {right} USING ({', '.join(node.using)})"
+            return f"{left} {node.how} JOIN {right} USING ({', '.join(map(quoted, node.using))})"
         return f"{left} {node.how} JOIN {right} ON {' AND '.join(' = '.join(self.sql(a) for a in e.args) for e in self._equalities(node.on))}"
 
     def where(self) -> tuple[list[str], list[str], list[int]]:

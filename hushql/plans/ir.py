@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import SparkSession
-
 from hushql.config import HushError
 
-SUBQUERIES = {"ScalarSubquery", "Exists", "ListQuery", "InSubquery", "LateralSubquery", "ArraySubquery"}
+SUBQUERIES = {"ScalarSubquery", "Exists", "ListQuery", "InSubquery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression"}
+#: Nodes that a query block can be made of, from the outside in.
+HEADS = {"UnresolvedHaving", "Distinct", "WithWindowDefinition", "UnresolvedHint"}
+LISTS = {"Project", "Aggregate"}
 
 
 @dataclass(frozen=True)
@@ -23,9 +24,11 @@ class Expr:
     filtered: bool = False
     ordered: bool = False
 
+    extra: tuple[Expr, ...] = ()  # a call's filter and order
+
     def walk(self):
         yield self
-        for a in self.args:
+        for a in (*self.args, *self.extra):
             yield from a.walk()
 
 
@@ -33,6 +36,9 @@ class Expr:
 class Relation:
     name: str
     alias: str
+    sql: str = ""  # the name with each part quoted
+    start: int = -1
+    stop: int = -1
 
 
 @dataclass
@@ -54,6 +60,7 @@ class Block:
     sort: list[tuple[Expr, str]]
     source: object
     features: list[str] = field(default_factory=list)
+    condition: str = ""  # the filter as Spark writes it
 
     def relations(self) -> list[Relation]:
         out: list[Relation] = []
@@ -78,9 +85,8 @@ def _option(o):
 
 
 def expression(node) -> Expr:
-    kind = node.getClass().getSimpleName()
-    origin = node.origin()
-    at = {"start": _option(origin.startIndex()), "stop": _option(origin.stopIndex())}
+    kind = kind_of(node)
+    at = dict(zip(("start", "stop"), place(node)))
     children = lambda: tuple(map(expression, _seq(node.children().toSeq())))
     if kind in ("Alias", "UnresolvedAlias"):
         return expression(node.child())
@@ -96,8 +102,9 @@ def expression(node) -> Expr:
         return Expr("subquery", kind, **at)
     if kind == "UnresolvedFunction":
         name = ".".join(_seq(node.nameParts())).lower()
-        ordered = bool(node.orderingWithinGroup().size()) if hasattr(node, "orderingWithinGroup") else False
-        return Expr("call", name, tuple(map(expression, _seq(node.arguments()))), distinct=node.isDistinct(), filtered=_option(node.filter()) is not None, ordered=ordered, **at)
+        where, order = _option(node.filter()), _seq(node.orderingWithinGroup())
+        extra = tuple(expression(x) for x in [*order, *([] if where is None else [where])])
+        return Expr("call", name, tuple(map(expression, _seq(node.arguments()))), distinct=node.isDistinct(), filtered=where is not None, ordered=bool(order), extra=extra, **at)
     if kind == "Cast":
         return Expr("cast", node.dataType().simpleString(), children(), **at)
     if kind == "Substring":
@@ -105,20 +112,34 @@ def expression(node) -> Expr:
     if kind in ("Round", "Floor", "Ceil"):
         return Expr("call", kind.lower(), children(), **at)
     if kind == "WindowExpression":
-        return Expr("window", kind, **at)
+        return Expr("window", kind, children(), **at)
     return Expr("other", kind, children(), **at)
 
 
+def named(node) -> Relation:
+    """The relation that an UnresolvedRelation names."""
+    parts = _seq(node.multipartIdentifier())
+    start, stop = place(node)
+    return Relation(".".join(parts).lower(), parts[-1].lower(), ".".join("`" + p.replace("`", "``") + "`" for p in parts), start, stop)
+
+
+def place(node) -> tuple[int, int]:
+    """First and last place of a node in its statement, -1 where unknown."""
+    origin = node.origin()
+    start, stop = _option(origin.startIndex()), _option(origin.stopIndex())
+    return (-1 if start is None else start), (-1 if stop is None else stop)
+
+
 def _source(node) -> object:
-    kind = node.getClass().getSimpleName()
+    """Relations and joins of a FROM clause; anything else can't stand there in an anonymizing block."""
+    kind = kind_of(node)
     if kind == "SubqueryAlias":
         inner = _source(node.child())
-        if isinstance(inner, Relation):
-            return Relation(inner.name, node.identifier().name().lower())
+        if isinstance(inner, Relation) and kind_of(node.child()) == "UnresolvedRelation":
+            return Relation(inner.name, node.identifier().name().lower(), inner.sql, inner.start, inner.stop)
         return "subquery"
     if kind == "UnresolvedRelation":
-        name = ".".join(_seq(node.multipartIdentifier())).lower()
-        return Relation(name, name.rpartition(".")[2])
+        return named(node)
     if kind == "Join":
         how = node.joinType()
         text, using, natural = str(how.sql() if not how.toString().startswith(("UsingJoin", "NaturalJoin")) else how.tpe().sql()), (), False
@@ -128,42 +149,58 @@ def _source(node) -> object:
             natural = True
         cond = _option(node.condition())
         return Join(_source(node.left()), _source(node.right()), text, None if cond is None else expression(cond), using, natural)
-    return "subquery" if kind != "OneRowRelation" else None
+    if kind in ("Project", "Aggregate", "OneRowRelation", "LateralJoin", "LocalRelation", "UnresolvedInlineTable", *HEADS):
+        return "subquery"
+    if kind == "Generate":
+        raise HushError("Feature 'SRF functions' is not currently supported.")
+    raise HushError(f"Feature '{kind}' is not currently supported.")
 
 
-def block(spark: SparkSession, text: str) -> Block:
-    """The block that ``text`` (SELECT ... with an optional ORDER BY) is."""
-    node = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
-    features, sort, having = [], [], None
-    kind = lambda: node.getClass().getSimpleName()
-    if kind() == "Sort":
-        for o in _seq(node.order()):
-            sort.append((expression(o.child()), f"{o.direction().sql()} {o.nullOrdering().sql()}"))
-        node = node.child()
-    if kind() == "WithWindowDefinition":
-        features.append("window functions")
-        node = node.child()
-    if kind() in ("Distinct", "Deduplicate"):
-        features.append("DISTINCT")
-        node = node.child()
-    if kind() == "UnresolvedHaving":
-        having = expression(node.havingCondition())
+def kind_of(node) -> str:
+    return node.getClass().getSimpleName().removesuffix("$")
+
+
+@dataclass
+class Parts:
+    """The nodes of a query block."""
+
+    heads: list
+    items: object
+    filter: object
+    source: object
+
+
+def parts(node) -> Parts | None:
+    """The parts of the block that ``node`` is the top of; None if it is none."""
+    heads = []
+    while kind_of(node) in HEADS:
+        heads.append(node)
         node = node.child()
-    group = None
-    if kind() == "Aggregate":
-        group = [expression(e) for e in _seq(node.groupingExpressions())]
-        items = _seq(node.aggregateExpressions())
-    elif kind() == "Project":
-        items = _seq(node.projectList())
+    if kind_of(node) not in LISTS:
+        return None
+    below = node.child()
+    where = below if kind_of(below) == "Filter" else None
+    return Parts(heads, node, where, below.child() if where is not None else below)
+
+
+def block(made: Parts, order=None) -> Block:
+    """A query block, with the ORDER BY above it."""
+    features, sort, having, group = [], [], None, None
+    for o in [] if order is None else _seq(order.order()):
+        sort.append((expression(o.child()), f"{o.direction().sql()} {o.nullOrdering().sql()}"))
+    for head in made.heads:
+        kind = kind_of(head)
+        if kind == "UnresolvedHaving":
+            having = expression(head.havingCondition())
+        elif kind != "UnresolvedHint":
+            features.append({"WithWindowDefinition": "window functions", "Distinct": "DISTINCT"}[kind])
+    if kind_of(made.items) == "Aggregate":
+        group = [expression(e) for e in _seq(made.items.groupingExpressions())]
+        items = _seq(made.items.aggregateExpressions())
     else:
-        raise HushError(f"Feature '{kind()}' is not currently supported.")
-    targets = [(expression(e), e.name() if e.getClass().getSimpleName() == "Alias" else None) for e in items]
-    node = node.child()
-    where = None
-    if kind() == "Filter":
-        where = expression(node.condition())
-        node = node.child()
-    source = _source(node)
+        items = _seq(made.items.projectList())
+    targets = [(expression(e), e.name() if kind_of(e) == "Alias" else None) for e in items]
+    where = None if made.filter is None else expression(made.filter.condition())
     if any(g.kind == "other" and g.name in ("GroupingSets", "Cube", "Rollup") for g in group or []):
         features.append("GROUPING SETS")
-    return Block(targets, group, where, having, sort, source, features)
+    return Block(targets, group, where, having, sort, _source(made.source), features, "" if made.filter is None else made.filter.condition().sql())

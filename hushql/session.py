@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-import itertools
 import re
-from dataclasses import fields
+from dataclasses import fields, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from hushql.config import OPEN, AccessLevel, Config, HushError
 from hushql.functions import scalar
 from hushql.labels import Catalog
-from hushql.plans.compiler import AGGREGATES, Compiler
-from hushql.plans.ir import block
+from hushql.plans.compiler import Compiler, quoted
+from hushql.plans.direct import direct_histograms
+from hushql.plans.statement import ANONYMOUS_ONLY, REFUSED_FUNCTIONS, Statement, fresh, functions, spliced
 
-_TOKEN = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|--[^\n]*|/\*.*?\*/|:[A-Za-z_]\w*|::|[A-Za-z_]\w*|[()]|;|\S", re.DOTALL)
-_ENDS = {"UNION", "EXCEPT", "INTERSECT", "MINUS"}
-_AFTER = {"LIMIT", "OFFSET"}
-_names = itertools.count()
+_BOUND = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|--[^\n]*|/\*.*?\*/|::|:[A-Za-z_]\w*", re.DOTALL)
+#: Calls that this session answers itself, whatever the access level.
+ANSWERED = {"access_level", "show_settings", "show_labels", "unnest_histogram"}
 
 
 def literal(value) -> str:
@@ -33,6 +33,9 @@ class Session:
 
     def __init__(self, spark: SparkSession, catalog: Catalog | None = None, config: Config | None = None, role: str | None = None):
         self.spark, self.catalog, self.config, self.role = spark, catalog or Catalog(spark), config or Config(), role
+        if not self.config.salt:
+            # The database's own salt: the same noise in all sessions over one catalog.
+            self.config = replace(self.config, salt=self.catalog.salt)
         scalar.register(spark)
         self.own_level = self.catalog.roles.get(role, AccessLevel.of(self.config.default_access_level)) if role else AccessLevel.DIRECT
         self.level = min(self.own_level, AccessLevel.of(self.config.session_access_level))
@@ -60,11 +63,15 @@ class Session:
     def sql(self, text: str, args: dict | None = None) -> DataFrame:
         """Run a statement; under anonymized access its blocks over personal tables are answered anonymously."""
         text = self._bound(text, args or {}).strip().rstrip(";")
-        text = self._macros(text)
+        if any(name in text.lower() for name in REFUSED_FUNCTIONS) and self.level < AccessLevel.DIRECT:
+            if any(c.name.rpartition(".")[2] in REFUSED_FUNCTIONS for c in self._calls(text)):
+                raise HushError("Statement requires direct access level.")
+        text, made = self._answered(text)
         if self.level == AccessLevel.DIRECT:
             return self.spark.sql(self._direct(text))
-        self._check_statement(text)
-        return self.spark.sql(self._rewritten(text))
+        statement = Statement(self.spark, text, self._is_personal, self._compiled, self._emptied, self.level)
+        statement.made |= made
+        return statement.run()
 
     def explain(self, text: str, args: dict | None = None, mode: str = "formatted") -> str:
         """Plan of a statement, without the statistics that could tell about personal rows."""
@@ -75,129 +82,87 @@ class Session:
 
     # Statements
 
-    def _check_statement(self, text: str) -> None:
-        words = [t.upper() for t in _TOKEN.findall(text) if not t.startswith(("--", "/*"))]
-        first = next((w for w in words if w != "("), "")
-        if first == "EXPLAIN" and words[1:2] and words[1] in ("COST", "ANALYZE"):
-            raise HushError("Statement requires direct access level.")
-        if first in ("INSERT", "UPDATE", "DELETE", "MERGE"):
-            raise HushError("Feature 'non-select query' is not currently supported.")
-        if first in ("DESCRIBE", "DESC") and "EXTENDED" in words or first == "ANALYZE":
-            raise HushError("Statement requires direct access level.")
-        if first not in ("SELECT", "WITH", "EXPLAIN", "SHOW", "DESCRIBE", "DESC", "VALUES", "TABLE", "FROM"):
-            raise HushError("Statement requires direct access level.")
-
     def _bound(self, text: str, args: dict) -> str:
         def one(m: re.Match) -> str:
             name = m[0][1:] if m[0].startswith(":") and m[0] != "::" else None
             return literal(args[name]) if name in args else m[0]
 
-        return _TOKEN.sub(one, text) if args else text
-
-    def _macros(self, text: str) -> str:
-        if re.search(r"\bshow_settings\s*\(\s*\)", text):
-            self.show_settings().createOrReplaceTempView("hush_settings")
-            text = re.sub(r"\bshow_settings\s*\(\s*\)", "hush_settings", text)
-        if re.search(r"\bshow_labels\s*\(\s*\)", text):
-            self.show_labels().createOrReplaceTempView("hush_labels")
-            text = re.sub(r"\bshow_labels\s*\(\s*\)", "hush_labels", text)
-        text = re.sub(r"\bunnest_histogram\s*\(", "explode(", text)
-        return re.sub(r"\baccess_level\s*\(\s*\)", f"'{self.access_level()}'", text)
-
-    @staticmethod
-    def _direct(text: str) -> str:
+        return _BOUND.sub(one, text) if args else text
+
+    def _calls(self, text: str) -> list:
+        return list(functions(self.spark._jsparkSession.sessionState().sqlParser().parsePlan(text)))
+
+    def _answered(self, text: str) -> tuple[str, set[str]]:
+        """``text`` with this session's own functions replaced where the parser finds them, and the views they read."""
+        if not any(name in text.lower() for name in ANSWERED):
+            return text, set()
+        edits, made = [], set()
+        for call in self._calls(text):
+            if call.kind == "table" and call.name in ("show_settings", "show_labels"):
+                made.add(view := fresh("told"))
+                getattr(self, call.name)().createOrReplaceTempView(view)
+                edits.append((call.start, call.stop + 1, view))
+            elif call.name == "access_level":
+                edits.append((call.start, call.stop + 1, f"'{self.access_level()}'"))
+            elif call.name == "unnest_histogram":
+                edits.append((call.start, call.start + len(call.name), "explode"))
+        return spliced(text, list(dict.fromkeys(edits))), made
+
+    def _is_personal(self, name: str) -> bool:
+        return self.catalog.is_personal(name, self.config.treat_unmarked_tables_as_public)
+
+    # Direct access
+
+    def _direct(self, text: str) -> str:
         """Under direct access noise is zero, no group is the suppress bin and histograms are ordinary."""
-        text = re.sub(r"\b(?:count|sum|avg)_noise\s*\([^()]*\)", "coalesce(max(0D), 0D)", text)
-        text = re.sub(r"\bis_suppress_bin\s*\(\s*\*?\s*\)", "coalesce(max(false), false)", text)
-        counts = "transform(map_entries(aggregate(collect_list({0}), cast(map() as map<string,bigint>), (m, x) -> map_concat(map_filter(m, (k, v) -> k <> cast(x as string)), map(cast(x as string), coalesce(m[cast(x as string)], 0L) + 1)))), e -> e.value div {1} * {1})"
-        hist = "transform(array_sort(array_distinct({0})), b -> array(b, cast(size(filter({0}, y -> y = b)) as bigint)))"
-
-        def histogram(m: re.Match) -> str:
-            return hist.format(counts.format(m[1], m[2] or 1))
-
-        return re.sub(r"\bcount_histogram\s*\(\s*([^(),]+?)\s*(?:,\s*(\d+)\s*)?\)", histogram, text)
-
-    def _rewritten(self, text: str) -> str:
-        """``text`` with every block over personal tables replaced by one over its anonymized result."""
-        tokens = [m for m in _TOKEN.finditer(text) if not m[0].startswith(("--", "/*"))]
-        close, stack = {}, []
-        for i, t in enumerate(tokens):
-            if t[0] == "(":
-                stack.append(i)
-            elif t[0] == ")" and stack:
-                close[stack.pop()] = i
-        blocks = []
-        for i, t in enumerate(tokens):
-            if t[0].upper() != "SELECT":
-                continue
-            end, order, cut, j, sets = len(text), None, None, i + 1, bool(i and tokens[i - 1][0].upper() in (*_ENDS, "ALL", "DISTINCT"))
-            while j < len(tokens):
-                word = tokens[j][0].upper()
-                if word == "(":
-                    j = close.get(j, len(tokens) - 1) + 1
-                    continue
-                if word == ")" or word in _ENDS:
-                    end = tokens[j].start()
-                    sets |= word in _ENDS
-                    break
-                if word == "ORDER" and order is None:
-                    order = tokens[j].start()
-                if word in _AFTER and cut is None:
-                    cut = tokens[j].start()
-                j += 1
-            stop = min(x for x in (end, cut) if x is not None)
-            if sets and order is not None:
-                stop = order
-            blocks.append((t.start(), stop))
-        done: list[tuple[int, int, str]] = []
-        for start, stop in sorted(blocks, key=lambda b: b[0]):
-            if any(a <= start < b for a, b, _ in done):
-                continue
-            if (new := self._block(text[start:stop], text[:start])) is not None:
-                done.append((start, stop, new))
-        for start, stop, new in sorted(done, reverse=True):
-            text = text[:start] + new + text[stop:]
+        if not any(name in text.lower() for name in ANONYMOUS_ONLY):
+            return text
+        plain = {"is_suppress_bin": "coalesce(max(false), false)"} | dict.fromkeys(("count_noise", "sum_noise", "avg_noise"), "coalesce(max(0D), 0D)")
+        edits = [(c.start, c.stop + 1, plain[c.name]) for c in self._calls(text) if c.name in plain]
+        text = spliced(text, list(dict.fromkeys(edits)))
+        while (new := direct_histograms(self.spark, text)) is not None:
+            text = new
         return text
 
-    def _block(self, text: str, before: str) -> str | None:
-        try:
-            parsed = block(self.spark, text)
-        except HushError:
-            parsed = None
-        if parsed is None:
-            return None
-        views = {r.name for r in parsed.relations()}
-        ctes = {m.lower() for m in re.findall(r"(\w+)\s+AS\s*\(", before, re.IGNORECASE)}
-        known = [v for v in views if v not in ctes and not v.startswith(("information_schema.", "hush_"))]
-        personal = [v for v in known if self.catalog.is_personal(v, self.config.treat_unmarked_tables_as_public)]
-        if not personal:
-            if any(x.kind == "call" and x.name in AGGREGATES - {"count", "sum", "avg"} for e, _ in parsed.targets for x in e.walk()):
-                raise HushError("Unsupported aggregate in query.")
-            return None
-        if re.match(r"\s*WITH\b", before, re.IGNORECASE) and before.rstrip().endswith(")") and before.count("(") == before.count(")"):
-            raise HushError("Feature 'WITH' is not currently supported.")
+    # Anonymized access
+
+    def _compiled(self, block, text: str) -> tuple[str, str]:
+        """Name of the view of a block's anonymous answer, and the query that takes the block's place."""
         self.config.validate()
-        if self._never(parsed, text):
-            return None
-        made = Compiler(self.catalog, self.config, self.level, parsed, text).compile()
-        name = f"hush_leaf_{next(_names)}"
-        made.frame.createOrReplaceTempView(name)
-        out = f"SELECT {', '.join(f'c{i} AS `{n}`' for i, n in enumerate(made.names))} FROM {name}"
+        made = Compiler(self.catalog, self.config, self.level, block, text).compile()
+        made.frame.createOrReplaceTempView(name := fresh("leaf"))
+        out = f"SELECT {', '.join(f'c{i} AS {quoted(n)}' for i, n in enumerate(made.names))} FROM {name}"
         if made.sort:
             out += " ORDER BY " + ", ".join(f"o{i} {o}" for i, o in enumerate(made.sort))
-        return out + " "
-
-    @staticmethod
-    def _never(parsed, text: str) -> bool:
-        """Whether the filter is constant and false: such a query reads no row and needs no anonymizing."""
-
-        def false(e) -> bool:
-            if e.kind == "literal":
-                return e.value is None or str(e.value).lower() == "false"
-            if e.kind == "other" and e.name == "And":
-                return any(map(false, e.args))
-            if e.kind == "other" and e.name == "EqualTo" and all(a.kind == "literal" for a in e.args):
-                return e.args[0].value != e.args[1].value or e.args[0].value is None
-            return False
-
-        return parsed.where is not None and false(parsed.where)
+        return name, out + " "
+
+    def _emptied(self, block, text: str) -> list[tuple[int, int, str]] | None:
+        """For a block whose filter folds to false or null: its tables read as empty ones, as no row needs anonymizing.
+
+        Spark folds the filter over tables that have the schema alone, so no row can influence it.
+        """
+        if block.where is None or not _may_fold(block.where) or any(e.kind == "subquery" for e in block.where.walk()):
+            return None
+        edits = []
+        for r in block.relations():
+            none = self.spark.createDataFrame(self.spark.sparkContext.emptyRDD(), self.spark.table(r.sql).schema)
+            none.createOrReplaceTempView(name := fresh("none"))
+            shown = text[r.stop + 1 :].split(None, 1)
+            renamed = bool(r.alias != r.name.rpartition(".")[2] or shown and shown[0].upper() == "AS")
+            edits.append((r.start, r.stop + 1, f"`{name}`" + ("" if renamed else f" AS {quoted(r.alias)}")))
+        if not edits:
+            return None
+        source = ", ".join(f"{e[2]}" if " AS " in e[2] else f"{e[2]} AS {quoted(r.alias)}" for e, r in zip(edits, block.relations()))
+        try:
+            plan = self.spark.sql(f"SELECT 1 FROM {source} WHERE {block.condition}")._jdf.queryExecution().optimizedPlan()
+        except AnalysisException:
+            return None
+        return edits if plan.getClass().getSimpleName() == "LocalRelation" and plan.data().isEmpty() else None
+
+
+def _may_fold(e) -> bool:
+    """Whether a part of a conjunction needs no column or holds a null."""
+    if e.kind == "other" and e.name == "And":
+        return any(map(_may_fold, e.args))
+    parts = list(e.walk())
+    return not any(x.kind in ("column", "subquery") for x in parts) or any(x.kind == "literal" and x.value is None for x in parts)
