@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BASIS, PRIME, MASK = 0xCBF29CE484222325, 0x100000001B3, (1 << 64) - 1
@@ -30,9 +30,25 @@ _Q = f"({_HI} * 435L + shiftrightunsigned({_P}, 32) + shiftleft({_LO}, 8))"
 STEP = f"(h, b) -> shiftleft({_Q} & 4294967295L, 32) | ({_P} & 4294967295L)"
 
 
-def fnv_long(sql: str) -> str:
-    """SQL: hash of the eight little-endian bytes of a BIGINT."""
-    return f"aggregate(transform(sequence(0, 7), i -> shiftrightunsigned({sql}, i * 8) & 255L), {signed(BASIS)}L, {STEP})"
+def fnv_steps(low: str, high: str, byte: str) -> tuple[str, str]:
+    """SQL: low and high half of the hash after one more byte, without a lambda, so that Spark compiles it."""
+    x = f"({low} ^ {byte})"
+    p = f"({x} * 435L)"
+    return f"({p} & 4294967295L)", f"(({high} * 435L + shiftrightunsigned({p}, 32) + shiftleft({x}, 8)) & 4294967295L)"
+
+
+def with_long_hash(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """``rows`` with the hash of the eight little-endian bytes of a BIGINT column, null where that is null.
+
+    Two bytes a projection: each half is read several times, so in one expression the steps would multiply.
+    """
+    kept, low, high = rows.columns, f"{BASIS & 0xFFFFFFFF}L", f"{BASIS >> 32}L"
+    for k in range(0, 8, 2):
+        for byte in (k, k + 1):
+            low, high = fnv_steps(low, high, f"(shiftrightunsigned({value}, {8 * byte}) & 255L)")
+        rows = rows.select(*kept, F.expr(low).alias("low__"), F.expr(high).alias("high__"))
+        low, high = "low__", "high__"
+    return rows.select(*kept, F.expr("shiftleft(high__, 32) | low__").alias(name))
 
 
 def fnv_text(sql: str) -> str:
@@ -42,11 +58,17 @@ def fnv_text(sql: str) -> str:
     return f"if(length({sql}) = 0, {signed(BASIS)}L, aggregate({bytes_}, {signed(BASIS)}L, {STEP}))"
 
 
-def aid_hash(sql: str, kind: str) -> str:
-    """SQL: hash of an entity identifier of a type; a 32-bit integer is widened without its sign."""
-    if kind == "string" or kind.startswith("varchar"):
-        return fnv_text(sql)
-    return fnv_long(f"(cast({sql} as bigint) & 4294967295L)" if kind == "int" else f"cast({sql} as bigint)")
+def with_aid_hash(rows: DataFrame, name: str, kinds: list[str]) -> DataFrame:
+    """``rows`` with the hash of ``aid``, whose type is that of ``inst``; a 32-bit integer is widened without its sign."""
+    texts = [i for i, kind in enumerate(kinds) if kind == "string" or kind.startswith("varchar")]
+    numbers = [i for i in range(len(kinds)) if i not in texts]
+    if numbers:
+        wide = " ".join(f"when {i} then " + ("cast(aid as bigint) & 4294967295L" if kinds[i] == "int" else "cast(aid as bigint)") for i in numbers)
+        rows = with_long_hash(rows.withColumn("long__", F.expr(f"case inst {wide} end")), "long__", name).drop("long__")
+    if texts:
+        other = F.col(name) if numbers else F.lit(None).cast("bigint")
+        rows = rows.withColumn(name, F.when(F.col("inst").isin(texts), F.expr(fnv_text("cast(aid as string)"))).otherwise(other))
+    return rows
 
 
 def _swapped(sql: str) -> str:

@@ -76,17 +76,16 @@ def instances(spec: Spec, columns: list[str]) -> DataFrame:
     return rows.select(*columns, F.explode(each).alias("x_")).select(*columns, "x_.inst", "x_.aid")
 
 
-def hash_column(spec: Spec) -> Column:
-    """Hash of an identifier; where no result depends on seeds, any hash breaks ties as well."""
+def hashed(rows: DataFrame, spec: Spec) -> DataFrame:
+    """Rows with the hash of their identifier; where no result depends on seeds, any hash breaks ties as well."""
     if spec.config.exact:
-        return F.when(F.col("aid").isNotNull(), F.xxhash64("aid"))
-    cases = " ".join(f"when {i} then {H.aid_hash(f'cast(aid as {t})', t)}" for i, t in enumerate(spec.aid_types))
-    return F.expr(f"if(aid is null, null, case inst {cases} end)")
+        return rows.withColumn("h", F.when(F.col("aid").isNotNull(), F.xxhash64("aid")))
+    return H.with_aid_hash(rows, "h", spec.aid_types)
 
 
 def contributions(spec: Spec) -> DataFrame:
     """(labels, inst, aid, h, one column for each leg): null where the identifier doesn't contribute to the leg."""
-    sums = [F.count("*").alias("n_rows")]
+    sums = []
     for i, f in enumerate(spec.families):
         x = F.col(f.arg) if f.arg else None
         if f.kind == "rows":
@@ -99,7 +98,7 @@ def contributions(spec: Spec) -> DataFrame:
             spec.legs += [(f"f{i}p", f"f{i}p"), (f"f{i}n", f"f{i}n")]
             sums += [F.sum(F.when(x >= 0, x.cast("double"))).alias(f"f{i}p"), F.sum(F.when(x <= 0, -x.cast("double"))).alias(f"f{i}n")]
     args = list(dict.fromkeys(f.arg for f in spec.families if f.arg and f.kind in ("value", "sum")))
-    return instances(spec, [*spec.labels, *args]).groupBy(*spec.labels, "inst", "aid").agg(*sums).withColumn("h", hash_column(spec))
+    return hashed(instances(spec, [*spec.labels, *args]).groupBy(*spec.labels, "inst", "aid").agg(*sums or [F.count("*").alias("f")]), spec)
 
 
 def summed(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -110,7 +109,9 @@ def summed(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def low_count(rows: DataFrame, keys: list[str], spec: Spec) -> DataFrame:
     """(keys, low): whether any identifier instance has fewer entities than its noisy threshold."""
-    seen = rows.groupBy(*keys, "inst").agg(F.count("aid").alias("n"), F.bit_xor("h").alias("seed"))
+    # Contributions are never negative. To look at them keeps their columns, so that this reads the very shuffle that the sums read.
+    looked = " or ".join(f"{c} <=> -1D" for c in rows.columns if c not in (*keys, "inst", "aid", "h"))
+    seen = rows.groupBy(*keys, "inst").agg(F.expr(f"count(if({looked}, null, aid)) as n"), F.bit_xor("h").alias("seed"))
     enough = F.expr(f"n >= {H.threshold('coalesce(seed, 0L)', spec.config)}")
     return seen.groupBy(*keys).agg((F.sum(enough.cast("int")) < len(spec.aid_types)).alias("low"))
 
@@ -197,8 +198,9 @@ def summable(legs: DataFrame, spec: Spec) -> DataFrame:
     keys = [*spec.keys, "inst", "leg"]
     totals = legs.groupBy(*keys).agg(F.count("h").alias("n"), F.coalesce(F.sum(F.when(F.col("h").isNotNull(), F.col("c"))), F.lit(0.0)).alias("total"), F.coalesce(F.sum(F.when(F.col("h").isNull(), F.col("c"))), F.lit(0.0)).alias("unacc"), F.coalesce(F.bit_xor("h"), F.lit(0)).alias("aid_seed"))
     most = c.outlier_count_max + c.top_count_max
-    order = Window.partitionBy(*keys).orderBy(F.desc("c"), F.desc(F.expr("h ^ shiftleft(1L, 63)")))
-    top = legs.where("h is not null").withColumn("r", F.row_number().over(order)).where(F.col("r") <= most)
+    # Contributions without identifier come last; a filter on them here would reach the scan and read it once more.
+    order = Window.partitionBy(*keys).orderBy(F.col("h").isNull(), F.desc("c"), F.desc(F.expr("h ^ shiftleft(1L, 63)")))
+    top = legs.withColumn("r", F.row_number().over(order)).where((F.col("r") <= most) & F.col("h").isNotNull())
     top = top.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("r", "c", "h"))).alias("top"))
     rows = joined(totals, top, keys)
     omin, omax, tmin, tmax = c.outlier_count_min, c.outlier_count_max, c.top_count_min, c.top_count_max
@@ -285,7 +287,7 @@ def distinct_values(i: int, f: Family, spec: Spec, routing: Routing | None) -> t
     Where the counted column is the only identifier each low value has one identifier, so nothing needs assigning.
     """
     rows = instances(spec, [*spec.labels, f.arg]).where(F.col(f.arg).isNotNull()).withColumnRenamed(f.arg, "v").distinct()
-    rows = (routing.everywhere(rows) if routing else rows.withColumn("star", F.lit(False))).withColumn("h", hash_column(spec)).select(*spec.keys, "v", "inst", "aid", "h").distinct()
+    rows = hashed(routing.everywhere(rows) if routing else rows.withColumn("star", F.lit(False)), spec).select(*spec.keys, "v", "inst", "aid", "h").distinct()
     c = spec.config
     per = rows.groupBy(*spec.keys, "v", "inst").agg(F.count("h").alias("n"), F.coalesce(F.bit_xor("h"), F.lit(0)).alias("seed"))
     good = F.expr(f"n >= {c.low_count_min_threshold} and n >= {H.threshold('seed', c)}").cast("int")
@@ -308,7 +310,8 @@ def histogram(i: int, f: Family, spec: Spec, routing: Routing | None) -> DataFra
     n_rows = base.groupBy(*spec.labels, "who").agg(F.count("*").alias("n_rows"))
     n_rows = (routing.everywhere(n_rows) if routing else n_rows.withColumn("star", F.lit(False))).groupBy(*spec.keys, "who").agg(F.sum("n_rows").alias("n_rows"))
     pairs = instances(inner, [*spec.labels, "who"]).distinct()
-    pairs = (routing.everywhere(pairs) if routing else pairs.withColumn("star", F.lit(False))).distinct().withColumn("h", hash_column(spec))
+    pairs = (routing.everywhere(pairs) if routing else pairs.withColumn("star", F.lit(False))).distinct()
+    pairs = hashed(pairs, spec)
     rows = joined(pairs, n_rows.withColumn("bin", F.expr(f"n_rows div {f.bin} * {f.bin}")).drop("n_rows"), [*spec.keys, "who"])
 
     def bins(at: list[str], source: DataFrame) -> DataFrame:

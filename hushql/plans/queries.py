@@ -148,7 +148,7 @@ def _registry() -> dict[str, tuple[Callable, str | None]]:
         "count_histogram": _q("SELECT unnest_histogram(h) AS bin FROM (SELECT count_histogram(o_custkey, 5) AS h FROM orders) AS x", None),
         "plain_histogram": ((lambda spark, sf_dir: plain_histogram(spark.read.parquet(f"{sf_dir}/orders.parquet"), [], "o_custkey", 5).selectExpr("explode(histogram) AS b").selectExpr("b[0] AS bin", "b[1] AS size")), "SELECT n // 5 * 5 AS bin, count(*) AS size FROM (SELECT count(*) AS n FROM orders WHERE o_custkey IS NOT NULL GROUP BY o_custkey) AS z GROUP BY 1"),
         "filterability": ((lambda spark, sf_dir: analyze_filterability(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type"), 0.1).selectExpr("column", "round(share, 6) AS share")), "SELECT 'event_type' AS \"column\", round(max(n) / sum(n), 6) AS share FROM (SELECT count(*) AS n FROM events GROUP BY event_type) AS z HAVING max(n) / sum(n) >= 0.1"),
-        "noisy_counts": ((lambda spark, sf_dir: Session(spark, load(spark, sf_dir), Config(salt="public benchmark salt", session_access_level="anonymized_trusted")).sql("SELECT c_mktsegment, count(*) AS n, count_noise(*) AS sd FROM customer GROUP BY 1")), None),
+        "noisy_counts": ((lambda spark, sf_dir: Session(spark, load(spark, sf_dir, "customer"), Config(salt="public benchmark salt", session_access_level="anonymized_trusted")).sql("SELECT c_mktsegment, count(*) AS n, count_noise(*) AS sd FROM customer GROUP BY 1")), None),
     }
     return out
 
