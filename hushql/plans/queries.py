@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from hushql.config import Config
 from hushql.labels import analyze_filterability
 from hushql.operators.program import plain_histogram
+from hushql.plans.noise_truth import noisy
 from hushql.session import Session
 from hushql.sources.tables import load
 
@@ -37,6 +38,24 @@ class Truth:
     aggs: list[tuple[str, str]]
     suppress: bool = True
     filtered: bool = True
+    merged: bool = False  # with low-effect merges, for three labels or more
+
+    def _merges(self, ls: list[str], legs: list[str]) -> list[str]:
+        """con from con0: rows of low groups that one label isolates from a single high group, and another tells nothing of, move there."""
+        others = {c: ", ".join(x for x in ls if x != c) for c in ls}
+        seen = ", ".join(f"count(*) OVER (PARTITION BY {o}) AS n_{c}, sum(CASE WHEN low THEN 0 ELSE 1 END) OVER (PARTITION BY {o}) AS high_{c}, max(CASE WHEN NOT low THEN {c} END) OVER (PARTITION BY {o}) AS to_{c}" for c, o in others.items())
+        isolated = {c: f"(n_{c} = 2 AND high_{c} = 1)" for c in ls}
+        moves = " UNION ALL ".join(f"SELECT {', '.join(f's.{x} AS s_{x}' for x in ls)}, {', '.join(f's.to_{x} AS {x}' if x == c else f's.{x} AS {x}' for x in ls)} FROM led AS s WHERE {isolated[c]}" for c in ls)
+        pair = " AND ".join(f"con0.{x} IS NOT DISTINCT FROM m.s_{x}" for x in ls)
+        rest = f"{', '.join(legs)}"
+        return [
+            f"low0 AS (SELECT {', '.join(ls)}, sum(CASE WHEN n >= {THRESHOLD} THEN 1 ELSE 0 END) < {len(self.aids)} AS low FROM (SELECT {', '.join(ls)}, inst, count(aid) AS n FROM con0 GROUP BY {', '.join(ls)}, inst) AS z GROUP BY {', '.join(ls)})",
+            f"led0 AS (SELECT *, {seen} FROM low0)",
+            f"led AS (SELECT * FROM led0 WHERE low AND ({' OR '.join(f'n_{c} = 1' for c in ls)}) AND ({' OR '.join(isolated.values())}))",
+            f"moves AS ({moves})",
+            f"rerouted AS (SELECT {', '.join(ls)}, inst, aid, {rest} FROM con0 WHERE NOT EXISTS (SELECT 1 FROM moves AS m WHERE {pair}) UNION ALL SELECT {', '.join(f'm.{x}' for x in ls)}, inst, aid, {rest} FROM con0 JOIN moves AS m ON {pair})",
+            f"con AS (SELECT {', '.join(ls)}, inst, aid, {', '.join(f'sum({f}) AS {f}' for f in legs)} FROM rerouted GROUP BY {', '.join(ls)}, inst, aid)",
+        ]
 
     def sql(self, select: str, tail: str = "") -> str:
         k, n = len(self.labels), len(self.aids)
@@ -55,7 +74,9 @@ class Truth:
                 "sum": [f"sum(CASE WHEN x{i} >= 0 THEN CAST(x{i} AS DOUBLE) END) AS f{i}p", f"sum(CASE WHEN x{i} <= 0 THEN -CAST(x{i} AS DOUBLE) END) AS f{i}n"],
             }[kind]
         by = lambda *c: (", ".join(c)) or "1"
-        out.append(f"con AS (SELECT {', '.join([*ls, 'inst', 'aid', *sums])} FROM inst GROUP BY {by(*ls, 'inst', 'aid')})")
+        out.append(f"{'con0' if self.merged else 'con'} AS (SELECT {', '.join([*ls, 'inst', 'aid', *sums])} FROM inst GROUP BY {by(*ls, 'inst', 'aid')})")
+        if self.merged:
+            out += self._merges(ls, legs)
         pair = lambda a, b, c: " AND ".join([f"{a}.{x} IS NOT DISTINCT FROM {b}.{x}" for x in c]) or "true"
         if self.filtered:
             out.append(f"low AS (SELECT {', '.join([*ls, ''])}sum(CASE WHEN n >= {THRESHOLD} THEN 1 ELSE 0 END) < {n} AS low FROM (SELECT {', '.join([*ls, 'inst'])}, count(aid) AS n FROM con GROUP BY {by(*ls, 'inst')}) AS z GROUP BY {by(*ls)})")
@@ -91,6 +112,29 @@ def _q(sql: str, truth: str | None, **config) -> tuple[Callable, str | None]:
     return (lambda spark, sf_dir: session(spark, sf_dir, sql, **config).sql(sql)), truth
 
 
+def _direct(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    return Session(spark, load(spark, sf_dir, sql), Config(salt="public benchmark salt")).sql(sql)
+
+
+def _noisy_config() -> Config:
+    return Config(salt="public benchmark salt", session_access_level="anonymized_trusted")
+
+
+def _noisy_q(sql: str, select: str, truth: tuple, **more) -> tuple[Callable, str]:
+    """A query with noise on, and its seeds, draws and noise in plain SQL."""
+    return (lambda spark, sf_dir: Session(spark, load(spark, sf_dir, sql), _noisy_config()).sql(sql)), f"{select} FROM ({noisy(*truth, _noisy_config(), **more)}) AS z"
+
+
+def _histogram_truth(source: str, label: str, aid: str, size: int, select: str) -> str:
+    """Bins of rows per identifier with noise off: small bins share one without label if it is no small bin itself."""
+    return (
+        f"WITH per AS (SELECT {label} AS l, count(*) AS n FROM {source} WHERE {aid} IS NOT NULL GROUP BY {label}, {aid}), bins AS (SELECT l, n // {size} * {size} AS bin, count(*) AS size FROM per GROUP BY 1, 2), "
+        f"ok AS (SELECT l FROM per GROUP BY l HAVING count(*) >= {THRESHOLD} OR l IS NULL), "
+        f"every AS (SELECT l, bin, size FROM bins WHERE size >= {THRESHOLD} UNION ALL SELECT l, NULL, sum(size) FROM bins WHERE size < {THRESHOLD} GROUP BY l HAVING count(*) > 1 AND sum(size) >= {THRESHOLD}) "
+        f"SELECT {select} FROM (SELECT every.l, bin, CAST(size AS BIGINT) AS size FROM every JOIN ok ON every.l IS NOT DISTINCT FROM ok.l) AS z"
+    )
+
+
 _SEG, _STATUS = ("c_mktsegment", True), ("o_orderstatus", True)
 _LINE = ["l_suppkey", "l_partkey"]
 _EVENT = ("event_type", True)
@@ -135,7 +179,7 @@ def _registry() -> dict[str, tuple[Callable, str | None]]:
         "multi_aid_count": _q("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY 1, 2", Truth("lineitem", _TWO, _LINE, [("rows", "")]).sql("l0 AS l_returnflag, l1 AS l_linestatus, v0 AS n")),
         "multi_aid_sum": _q("SELECT l_returnflag, round(sum(l_extendedprice), 2) AS total FROM lineitem GROUP BY 1", Truth("lineitem", _TWO[:1], _LINE, [("sum", "l_extendedprice")]).sql("l0 AS l_returnflag, round(v0, 2) AS total")),
         "suppress_bin": _q("SELECT o_orderpriority, date_trunc('month', o_orderdate) AS m, count(*) AS n FROM orders GROUP BY 1, 2", Truth("orders", _FEW, ["o_custkey"], [("rows", "")]).sql("l0 AS o_orderpriority, CAST(l1 AS TIMESTAMP) AS m, v0 AS n")),
-        "suppress_bin_off": _q("SELECT c_name, c_mktsegment, count(*) AS n FROM customer GROUP BY 1, 2", Truth("customer", [("c_name", True), _SEG], ["c_custkey"], [("rows", "")], suppress=False).sql("l0 AS c_name, l1 AS c_mktsegment, v0 AS n"), compute_suppress_bin=False),
+        "suppress_bin_off": _q("SELECT o_orderpriority, date_trunc('week', o_orderdate) AS w, count(*) AS n FROM orders GROUP BY 1, 2", Truth("orders", [("o_orderpriority", True), ("date_trunc('week', o_orderdate)", False)], ["o_custkey"], [("rows", "")], suppress=False).sql("l0 AS o_orderpriority, CAST(l1 AS TIMESTAMP) AS w, v0 AS n"), compute_suppress_bin=False),
         "is_suppress_bin": _q("SELECT c_name, is_suppress_bin(*) AS b, count(*) AS n FROM customer GROUP BY 1", one("customer", ("c_name", True), "c_custkey", ("rows", "")).sql("l0 AS c_name, star AS b, v0 AS n")),
         "union_of_answers": _q("SELECT c_mktsegment AS x FROM customer GROUP BY 1 UNION SELECT o_orderstatus FROM orders GROUP BY 1", "SELECT c_mktsegment AS x FROM customer GROUP BY 1 UNION SELECT o_orderstatus FROM orders GROUP BY 1"),
         "except_of_answers": _q("SELECT c_nationkey FROM customer GROUP BY 1 EXCEPT SELECT s_nationkey FROM supplier GROUP BY 1", "SELECT c_nationkey FROM customer GROUP BY 1 HAVING count(*) >= 3 EXCEPT SELECT s_nationkey FROM supplier GROUP BY 1 HAVING count(*) >= 3"),
@@ -144,11 +188,33 @@ def _registry() -> dict[str, tuple[Callable, str | None]]:
         "order_limit": _q("SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 2", customers.sql("l0 AS c_mktsegment, v0 AS n", "ORDER BY v0 DESC, l0 LIMIT 2")),
         "unrestricted_public": _q("SELECT p_brand, max(p_retailprice) AS top FROM part WHERE p_size > 10 OR p_brand LIKE '%1' GROUP BY 1", "SELECT p_brand, max(p_retailprice) AS top FROM part WHERE p_size > 10 OR p_brand LIKE '%1' GROUP BY 1"),
         "parameters": ((lambda spark, sf_dir: session(spark, sf_dir).sql("SELECT count(*) AS n FROM orders WHERE o_orderstatus = :s", {"s": "O"})), one("orders WHERE o_orderstatus = 'O'", None, "o_custkey", ("rows", "")).sql("v0 AS n")),
-        "led_merge": _q("SELECT c_nationkey, c_mktsegment, floor_by(c_acctbal, 5000) AS band, count(*) AS n FROM customer GROUP BY 1, 2, 3", None),
-        "count_histogram": _q("SELECT unnest_histogram(h) AS bin FROM (SELECT count_histogram(o_custkey, 5) AS h FROM orders) AS x", None),
+        "led_merge": _q("SELECT c_nationkey, c_mktsegment, floor_by(c_acctbal, 5000) AS band, count(*) AS n FROM customer GROUP BY 1, 2, 3", Truth("customer", [("c_nationkey", False), _SEG, ("floor(c_acctbal / 5000) * CAST(5000 AS DOUBLE)", False)], ["c_custkey"], [("rows", "")], merged=True).sql("l0 AS c_nationkey, l1 AS c_mktsegment, l2 AS band, v0 AS n")),
+        "led_merge_sum": _q("SELECT o_orderstatus, o_orderpriority, date_trunc('quarter', o_orderdate) AS q, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1, 2, 3", Truth("orders", [_STATUS, ("o_orderpriority", True), ("date_trunc('quarter', o_orderdate)", False)], ["o_custkey"], [("sum", "o_totalprice")], merged=True).sql("l0 AS o_orderstatus, l1 AS o_orderpriority, CAST(l2 AS TIMESTAMP) AS q, round(v0, 2) AS total")),
+        "count_histogram": _q("SELECT b[0] AS bin, b[1] AS size FROM (SELECT unnest_histogram(h) AS b FROM (SELECT count_histogram(o_custkey, 5) AS h FROM orders) AS x) AS y", _histogram_truth("orders", "NULL", "o_custkey", 5, "bin, size")),
+        "count_histogram_grouped": _q("SELECT event_type, b[0] AS bin, b[1] AS size FROM (SELECT event_type, unnest_histogram(h) AS b FROM (SELECT event_type, count_histogram(user_id) AS h FROM events GROUP BY 1) AS x) AS y", _histogram_truth("events", "event_type", "user_id", 1, "l AS event_type, bin, size")),
+        "direct_histogram": (lambda spark, sf_dir: _direct(spark, sf_dir, "SELECT event_type, b[0] AS bin, b[1] AS size FROM (SELECT event_type, unnest_histogram(h) AS b FROM (SELECT event_type, count_histogram(user_id, 2) AS h FROM events GROUP BY 1) AS x) AS y"), "SELECT event_type, n // 2 * 2 AS bin, count(*) AS size FROM (SELECT event_type, user_id, count(*) AS n FROM events WHERE user_id IS NOT NULL GROUP BY 1, 2) AS z GROUP BY 1, 2"),
+        "direct_noise": (lambda spark, sf_dir: _direct(spark, sf_dir, "SELECT o_orderstatus, count(*) AS n, count_noise(*) AS a, sum_noise(o_totalprice) AS b, is_suppress_bin(*) AS c FROM orders GROUP BY 1"), "SELECT o_orderstatus, count(*) AS n, CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b, false AS c FROM orders GROUP BY 1"),
         "plain_histogram": ((lambda spark, sf_dir: plain_histogram(spark.read.parquet(f"{sf_dir}/orders.parquet"), [], "o_custkey", 5).selectExpr("explode(histogram) AS b").selectExpr("b[0] AS bin", "b[1] AS size")), "SELECT n // 5 * 5 AS bin, count(*) AS size FROM (SELECT count(*) AS n FROM orders WHERE o_custkey IS NOT NULL GROUP BY o_custkey) AS z GROUP BY 1"),
-        "filterability": ((lambda spark, sf_dir: analyze_filterability(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type"), 0.1).selectExpr("column", "round(share, 6) AS share")), "SELECT 'event_type' AS \"column\", round(max(n) / sum(n), 6) AS share FROM (SELECT count(*) AS n FROM events GROUP BY event_type) AS z HAVING max(n) / sum(n) >= 0.1"),
-        "noisy_counts": ((lambda spark, sf_dir: Session(spark, load(spark, sf_dir, "customer"), Config(salt="public benchmark salt", session_access_level="anonymized_trusted")).sql("SELECT c_mktsegment, count(*) AS n, count_noise(*) AS sd FROM customer GROUP BY 1")), None),
+        "filterability": ((lambda spark, sf_dir: analyze_filterability(spark.read.parquet(f"{sf_dir}/events.parquet"), 0.1).selectExpr("column", "round(share, 6) AS share")), " UNION ALL ".join(f"SELECT '{c}' AS \"column\", round(max(n) / sum(n), 6) AS share FROM (SELECT count(*) AS n FROM events GROUP BY {c}) AS z HAVING max(n) / sum(n) >= 0.1" for c in ("event_id", "ts", "user_id", "event_type", "value", "props"))),
+        "floor_function": _q("SELECT floor(l_quantity) AS q, count(*) AS n FROM lineitem GROUP BY 1", Truth("lineitem", [("floor(l_quantity)", False)], _LINE, [("rows", "")]).sql("l0 AS q, v0 AS n")),
+        "ceil_function": _q("SELECT ceil(l_tax) AS t, count(*) AS n FROM lineitem GROUP BY 1", Truth("lineitem", [("ceil(l_tax)", False)], _LINE, [("rows", "")]).sql("l0 AS t, v0 AS n")),
+        "round_function": _q("SELECT round(value) AS v, count(*) AS n FROM events GROUP BY 1", one("events", ("round_even(value, 0)", False), "user_id", ("rows", "")).sql("l0 AS v, v0 AS n")),
+        "transparent_cast": _q("SELECT floor_by(cast(c_nationkey AS double), 5) AS band, count(*) AS n FROM customer GROUP BY 1", one("customer", ("floor(c_nationkey / 5) * CAST(5 AS DOUBLE)", False), "c_custkey", ("rows", "")).sql("l0 AS band, v0 AS n")),
+        "datetime_text": _q("SELECT substring(cast(o_orderdate AS string), 1, 7) AS m, count(*) AS n FROM orders GROUP BY 1", one("orders", ("strftime(o_orderdate, '%Y-%m')", True), "o_custkey", ("rows", "")).sql("l0 AS m, v0 AS n")),
+        "date_trunc_decade": _q("SELECT date_trunc('decade', o_orderdate) AS d, count(*) AS n FROM orders GROUP BY 1", one("orders", ("date_trunc('decade', o_orderdate)", False), "o_custkey", ("rows", "")).sql("CAST(l0 AS TIMESTAMP) AS d, v0 AS n")),
+        "extract_decade": _q("SELECT cast(extract(decade from o_orderdate) as int) AS d, cast(extract(millennium from o_orderdate) as int) AS k, count(*) AS n FROM orders GROUP BY 1, 2", Truth("orders", [("CAST(extract(decade from o_orderdate) AS INTEGER)", False), ("CAST(extract(millennium from o_orderdate) AS INTEGER)", False)], ["o_custkey"], [("rows", "")]).sql("l0 AS d, l1 AS k, v0 AS n")),
+        "right_join": _q("SELECT n_name, count(*) AS n FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey GROUP BY 1", one("supplier RIGHT JOIN nation ON s_nationkey = n_nationkey", ("n_name", True), "s_suppkey", ("rows", "")).sql("l0 AS n_name, v0 AS n")),
+        "full_join": _q("SELECT c_mktsegment, count(*) AS n FROM orders FULL JOIN customer ON o_custkey = c_custkey GROUP BY 1", Truth("orders FULL JOIN customer ON o_custkey = c_custkey", [_SEG], ["o_custkey", "c_custkey"], [("rows", "")]).sql("l0 AS c_mktsegment, v0 AS n")),
+        "join_using": _q("SELECT a.o_orderstatus AS s, count(*) AS n FROM orders AS a JOIN orders AS b USING (o_orderkey) GROUP BY 1", Truth("orders AS a JOIN orders AS b ON a.o_orderkey = b.o_orderkey", [("a.o_orderstatus", True)], ["a.o_custkey", "b.o_custkey"], [("rows", "")]).sql("l0 AS s, v0 AS n")),
+        "join_order": _q("SELECT c_mktsegment, count(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1", Truth(_CO, [_SEG], ["o_custkey", "c_custkey"], [("rows", "")]).sql("l0 AS c_mktsegment, v0 AS n")),
+        "access_level": _q("SELECT access_level() AS level, 'access_level()' AS name", "SELECT 'anonymized_trusted' AS level, 'access_level()' AS name"),
+        "show_labels": _q("SELECT objtype, objname, label FROM show_labels() WHERE objname LIKE 'lineitem%'", "SELECT 'table' AS objtype, 'lineitem' AS objname, 'personal' AS label UNION ALL SELECT 'column', 'lineitem.l_suppkey', 'aid' UNION ALL SELECT 'column', 'lineitem.l_partkey', 'aid'"),
+        "show_settings": _q("SELECT name, setting FROM show_settings() WHERE name LIKE '%count_m%'", "SELECT * FROM (VALUES ('low_count_mean_gap', '2.0'), ('low_count_min_threshold', '3'), ('outlier_count_max', '1'), ('outlier_count_min', '1'), ('top_count_max', '3'), ('top_count_min', '3')) AS t(name, setting)"),
+        "noisy_counts": _noisy_q("SELECT c_mktsegment, count(*) AS n, count_noise(*) AS sd FROM customer GROUP BY 1", "SELECT l0 AS c_mktsegment, v AS n, sd", ("customer", "c_mktsegment", "c_custkey", ["customer.c_mktsegment"], [])),
+        "noisy_contributions": _noisy_q("SELECT o_orderstatus, count(*) AS n, round(count_noise(*), 6) AS sd FROM orders GROUP BY 1", "SELECT l0 AS o_orderstatus, v AS n, round(sd, 6) AS sd", ("orders", "o_orderstatus", "o_custkey", ["orders.o_orderstatus"], [])),
+        "noisy_sums": _noisy_q("SELECT o_orderstatus, round(sum(o_totalprice), 2) AS total, round(sum_noise(o_totalprice), 3) AS sd FROM orders GROUP BY 1", "SELECT l0 AS o_orderstatus, round(v, 2) AS total, round(sd, 3) AS sd", ("orders", "o_orderstatus", "o_custkey", ["orders.o_orderstatus"], []), summed="o_totalprice"),
+        "noisy_filter_seed": _noisy_q("SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'O'", "SELECT v AS n", ("orders WHERE o_orderstatus = 'O'", "NULL", "o_custkey", ["orders.o_orderstatus"], ["O"]), grouped=False),
+        "noisy_generalized": _noisy_q("SELECT substring(o_orderpriority, 1, 1) AS p, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1", "SELECT l0 AS p, v AS n", ("orders WHERE o_orderstatus = 'F'", "substr(o_orderpriority, 1, 1)", "o_custkey", ["substring,orders.o_orderpriority,1,1", "orders.o_orderstatus"], ["F"])),
     }
     return out
 
