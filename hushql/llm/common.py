@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import math
+import re
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-HASH_SPACE = 1 << 20
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -20,14 +17,26 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the shared folder that the session names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and written tables that all machines share, as ``spark.checkpoint.dir`` names it.
 
-    Only where ``spark.checkpoint.dir`` is unset (tests on one machine) a temporary folder is used.
+    Where that is unset, Spark on one machine (local mode, as in tests) takes a temporary folder; a cluster has no place
+    that its executors share, so there it is an error.
     """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if named:
+        return named
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="checkpoints-")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a reliable checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -36,26 +45,29 @@ def crc_fold(column: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def bounded_sample(rows: DataFrame, group: str, key: str, per_group: int, max_groups: int = 512) -> DataFrame:
-    """Rows of ``rows`` chosen by a hash of ``key``: ``per_group`` expected in each of the ``max_groups`` largest groups.
+def bounded_sample(rows: DataFrame, group: str, most: Column | int, *key: str) -> DataFrame:
+    """At most ``most`` rows of each group, one for each value of ``key``, chosen by a hash of the key.
 
-    The choice depends on the key alone, so a lost task picks the same rows again; the hard limit of twice the
-    expected number holds however often a key repeats.
+    A first bar on the hash, from the group's number of rows, leaves about twice as many and twenty; repeated keys then become one
+    and the least hashes stay. The choice depends on values alone, so a lost task makes it again, and its bound holds
+    however often a key repeats. Rows of one key are taken to be equal.
     """
-    sizes = rows.groupBy(group).count().orderBy(F.desc("count"), group).limit(max_groups).collect()
-    chosen = F.lit(False)
-    for value, n in sizes:
-        bar = math.ceil(per_group / n * HASH_SPACE)
-        chosen = chosen | ((F.col(group) == F.lit(value)) & (F.expr(f"pmod(xxhash64({key}), {HASH_SPACE}L)") < bar))
-    return rows.where(chosen).limit(2 * per_group * max(1, len(sizes)))
+    kept, most = rows.columns, F.lit(most) if isinstance(most, int) else most
+    sizes = rows.groupBy(F.col(group).alias("group_")).agg(F.count("*").alias("n_"))
+    rows = rows.withColumn("hash_", F.xxhash64(*key, F.lit(42))).join(sizes, F.col(group).eqNullSafe(F.col("group_")))
+    rows = rows.where(F.expr("shiftrightunsigned(hash_, 11)") / float(1 << 53) < (2 * most + 20) / F.col("n_")).dropDuplicates([group, "hash_", *key])
+    order = Window.partitionBy(group).orderBy("hash_", *key)
+    return rows.withColumn("rank_", F.row_number().over(order)).where(F.col("rank_") <= most).select(*kept)
 
 
 def labelled(documents: DataFrame, labels: DataFrame, label: str, learn_from: Column, per_class: int) -> DataFrame:
-    """(doc_id, text, y) of at most ``2 * per_class`` labelled rows a class, expected ``per_class``.
+    """(doc_id, text, y) of at most ``per_class`` labelled rows a class.
 
-    Only keys and labels travel: the chosen ids have that bound, so they are broadcast and the texts are filtered
-    where they are read. A key with several labels counts with the largest.
+    Keys are chosen first, from the labels alone: they have that bound, so they are broadcast and the texts are filtered
+    where they are read. A key of several rows gives each of its texts, within the same bound. A key with several labels
+    counts with the largest.
     """
     rows = labels.where(learn_from & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
-    ids = bounded_sample(rows, "y", "doc_id", per_class)
-    return documents.select("doc_id", whole_text().alias("text")).join(F.broadcast(ids), "doc_id")
+    ids = bounded_sample(rows, "y", per_class, "doc_id")
+    texts = documents.select("doc_id", whole_text().alias("text"), F.xxhash64(whole_text()).alias("text_hash")).join(F.broadcast(ids), "doc_id")
+    return bounded_sample(texts, "y", per_class, "doc_id", "text_hash").select("doc_id", "text", "y")

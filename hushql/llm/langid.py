@@ -5,7 +5,8 @@ boundary; a run never spans a boundary. Each is hashed to an embedding, a text i
 
 Texts that are null or have no letter are `und` with score 0. The softmax is calibrated by a temperature fitted on
 learning rows kept apart; ``rejected`` says whether the calibrated score is below the bar or the text is `und`.
-Learning takes a bounded, documented sample (PER_LANGUAGE rows a language); with no rows to learn from all is `und`.
+Learning takes a bounded, documented sample (PER_LANGUAGE rows a language, MOST_ROWS in all); no language is left out, and with
+no rows to learn from all is `und`.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ BUCKETS = 1 << 15
 DIM = 12
 SIZES = (2, 3, 4)
 FOLDS = 5
-PER_LANGUAGE = 500
+#: Rows that are learned from, of a language and (one of each at least) of all languages.
+PER_LANGUAGE, MOST_ROWS = 500, 50_000
 EPOCHS = 6
 REJECT_BELOW = 0.5
 #: Code points that are hashed at once.
@@ -170,7 +172,8 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     that stands for short texts.
     """
     rows = docs.select("doc_id", "lang", whole_text().alias("text"), crc_fold("doc_id", FOLDS).alias("fold")).where("fold <> 0 and lang is not null")
-    keys = bounded_sample(rows.select("doc_id", "lang"), "lang", "doc_id", per_language).select("doc_id").distinct()
+    languages = rows.select("lang").distinct().count()
+    rows = bounded_sample(rows.withColumn("text_hash", F.xxhash64("text")), "lang", max(1, min(per_language, MOST_ROWS // max(1, languages))), "doc_id", "text_hash")
 
     @F.pandas_udf("array<struct<used:binary,counts:binary>>")
     def bags(texts: pd.Series) -> pd.Series:
@@ -181,8 +184,8 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
             out.append([{"used": u.astype(np.int32).tobytes(), "counts": c.astype(np.int32).tobytes()} for u, c in made])
         return pd.Series(out, dtype=object)
 
-    got = rows.join(F.broadcast(keys), "doc_id").select("doc_id", "lang", (F.col("fold") == 1).alias("apart"), bags("text").alias("bags")).collect()
-    got.sort(key=lambda r: (r.doc_id, r.lang, bytes(r.bags[0].used)))
+    got = rows.select("doc_id", "lang", (F.col("fold") == 1).alias("apart"), bags("text").alias("bags")).collect()
+    got.sort(key=lambda r: (r.doc_id is None, r.doc_id or 0, r.lang, bytes(r.bags[0].used)))
     read = lambda b: np.frombuffer(b, np.int32).astype(np.int64)
     return train([(read(b.used), read(b.counts)) for r in got for b in r.bags], [r.lang for r in got for _ in r.bags], np.array([r.apart for r in got for _ in r.bags], bool))
 
