@@ -2,12 +2,13 @@
 
 A node with room for several shards is split along its widest dimension at the weighted quantile that shares its bytes
 by the shards of its two sides (the median where those are equal); all nodes of a level are measured together. Each
-dimension is a 24-bit grid: position of doc_id, size, text checksum, language and source. Ties on a dimension go by a
-24-bit hash of doc_id, size and checksum, so a hot group of equal texts is cut wherever the bytes ask for it. A cut is found by reading the
-48-bit key twelve bits at a time, so the driver gets at most 4096 sums for each node of a level.
+dimension is a 24-bit grid between the least and the largest value: doc_id, logarithm of the size, and language and source
+in the order of their first three bytes. Ties on a dimension go by a 24-bit hash of a row number that the checkpoint of
+the metadata fixes, so also rows that are equal in everything are cut wherever the bytes ask for it. A cut is found by
+reading the 48-bit key twelve bits at a time, so the driver gets at most 4096 sums for each node of a level.
 
-Null texts have no bytes and checksum 0. Rows equal in doc_id and text stay in one shard and are numbered in any order.
-An empty table has no shards.
+Null texts have no bytes and checksum 0; null ids, languages and sources stand at the low end. Repeated rows are rows of
+their own. An empty table has no shards.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from hushql.llm.common import cut
 
 GRID = 24
 DIGIT = 12
-DIMENSIONS = ("d_id", "d_size", "d_text", "d_lang", "d_source")
+DIMENSIONS = ("d_id", "d_size", "d_lang", "d_source")
 #: Rows that one task numbers.
 NUMBERED = 50_000
 
@@ -43,17 +44,17 @@ def _grid(column: Column, low, high) -> Column:
 
 
 def metadata(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32, a tie-breaking hash and the dimensions; a lacking lang or source counts as null."""
-    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit("")
+    """doc_id, size, text_crc32, row (a number of its own), tie and the dimensions; a lacking lang or source counts as null."""
+    head = lambda c: F.expr(f"cast(conv(rpad(substring(hex(encode(cast({c} as string), 'utf-8')), 1, 6), 6, '0'), 16, 10) as bigint)")
+    named = lambda c: head(c) if c in docs.columns else F.lit(None).cast("bigint")
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), named("lang").alias("lang_"), named("source").alias("source_"))
-    low, high, large = rows.agg(F.min("doc_id"), F.max("doc_id"), F.max("size")).first()
-    top = (1 << GRID) - 1
-    hashed = lambda *c: F.expr(f"shiftrightunsigned(xxhash64({', '.join(c)}), {64 - GRID})")
+    ends = rows.agg(F.max("size").alias("size"), *[f(c).alias(f"{f.__name__}_{c}") for c in ("doc_id", "lang_", "source_") for f in (F.min, F.max)]).first()
+    scaled = lambda c: _grid(F.col(c), ends[f"min_{c}"] or 0, ends[f"max_{c}"] or 0)
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
     return rows.select(
-        "doc_id", "size", "text_crc32", hashed("doc_id", "size", "text_crc32").alias("tie"), F.xxhash64("doc_id", "text_crc32").alias("spread"),
-        _grid(F.col("doc_id"), low or 0, high or 0).alias("d_id"), _grid(F.log2(F.col("size")), 3.0, float((large or 8).bit_length())).alias("d_size"),
-        F.shiftright("text_crc32", 32 - GRID).bitwiseAND(top).alias("d_text"), hashed("lang_").alias("d_lang"), hashed("source_").alias("d_source"),
+        "doc_id", "size", "text_crc32", "row", F.expr(f"shiftrightunsigned(xxhash64(row), {64 - GRID})").alias("tie"),
+        scaled("doc_id").alias("d_id"), _grid(F.log2(F.col("size")), 3.0, float((ends["size"] or 8).bit_length())).alias("d_size"), scaled("lang_").alias("d_lang"), scaled("source_").alias("d_source"),
     )
 
 
@@ -121,11 +122,11 @@ def numbered(rows: DataFrame, shards: int) -> DataFrame:
     """Slots without gaps from 0 in each shard. Parts of a shard are numbered apart, then moved by what stands before."""
     n = rows.count()
     parts = max(1, -(-n // (shards * NUMBERED)))
-    rows = rows.withColumn("part_", F.expr(f"pmod(spread, {parts}L)"))
+    rows = rows.withColumn("part_", F.expr(f"pmod(xxhash64(row, 1), {parts}L)"))
     sizes = rows.groupBy("shard", "part_").agg(F.count("*").alias("n_"))
     before = F.coalesce(F.sum("n_").over(Window.partitionBy("shard").orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("shard", "part_", before.alias("start_"))
-    own = Window.partitionBy("shard", "part_").orderBy("doc_id", "text_crc32", "size")
+    own = Window.partitionBy("shard", "part_").orderBy("row")
     return rows.withColumn("own_", F.row_number().over(own)).join(starts, ["shard", "part_"]).withColumn("slot", F.col("start_") + F.col("own_") - 1)
 
 

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 
 import public_tokenizers
 from hushql.llm import bpe, chat, decontam, fingerprint, queries, secrets, shards, simhash
@@ -276,10 +277,41 @@ def test_sharding(spark, docs, rows):
     for r in even:
         size[r.shard] += r.size
     assert len(size) == 24 and max(size.values()) - min(size.values()) <= 100
+    same = shards.assign(spark.createDataFrame([(None, "equal")] * 1000, "doc_id long, text string"), 24).collect()
+    per = Counter(r.shard for r in same)
+    assert len(per) == 24 and max(per.values()) - min(per.values()) <= 1
     by_bytes = shards.assign(docs, target_bytes=100_000)
     assert by_bytes.select("shard").distinct().count() >= 2
 
 
+def brute_tree(rows, n, first=0):
+    """(row, shard) by recursion over whole rows: the widest dimension, cut where the bytes come nearest to the low side's share."""
+    if n == 1 or not rows:
+        return [(r.row, first) for r in rows]
+    d = max(shards.DIMENSIONS, key=lambda d: (max(r[d] for r in rows) - min(r[d] for r in rows), -shards.DIMENSIONS.index(d)))
+    by = defaultdict(int)
+    for r in rows:
+        by[r[d] << shards.GRID | r.tie] += r.size
+    goal, passed = sum(by.values()) * (n // 2) / n, 0
+    for key in sorted(by):
+        if passed + by[key] >= goal:
+            bar = key + 1 if passed + by[key] - goal < goal - passed else key
+            break
+        passed += by[key]
+    low = [r for r in rows if (r[d] << shards.GRID | r.tie) < bar]
+    high = [r for r in rows if (r[d] << shards.GRID | r.tie) >= bar]
+    return brute_tree(low, n // 2, first) + brute_tree(high, n - n // 2, first + n // 2)
+
+
+def test_sharding_is_the_brute_force_tree(spark, docs):
+    from hushql.llm.common import cut
+
+    rows = cut(shards.metadata(docs.repartition(3)))
+    root = shards.tree(rows, 24)
+    got = {r.row: r.s for r in rows.select("row", shards.placed(root, lambda n: F.lit(n.first)).alias("s")).collect()}
+    assert got == dict(brute_tree(rows.collect(), 24))
+
+
 def test_empty_tables(spark, tmp_path):
     for name in ("documents", "labels", "benchmark", "conversations"):
         table(spark, DATA, name).limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
