@@ -1,9 +1,10 @@
 """Chat formatting in budgeted windows, in built-in expressions only.
 
-Prefix sums of turn tokens choose spans of whole turns: a turn opens in the window of its first token, windows are half
-of what the budget leaves, so a window holds its new turns, the system turn and at most HISTORY tokens of the turns
-before it within the budget unless one turn alone is larger. Repeated turns are context: only new assistant turns are
-under the loss mask, so each is a target once.
+Prefix sums of turn tokens choose spans of whole turns: a conversation's tokens are cut into cells of what the budget leaves
+beside the system turn and the history. Turns inside a cell are one window, a turn across the end of a cell joins the
+cell's window if it fits and is a window of its own if not. So a window holds its new turns, the system turn and
+at most HISTORY tokens of the turns before it within the budget, unless one turn alone is larger than that leaves. Repeated
+turns are context: only new assistant turns are under the loss mask, so each is a target once.
 
 Template: ``### role``, a line end, the text, a line end, ``</turn>``, a line end. Backslash, ``#`` and ``<`` in texts and roles carry
 a backslash (line ends in roles are written as backslash and n), so no text can make a control string and all reads back.
@@ -22,7 +23,8 @@ BUDGET = 2048
 HISTORY = 256
 #: Values of turn whose sums one task takes.
 BLOCK = 1024
-OVERHEAD = 4
+#: Code points of the template around a role and a text.
+TEMPLATE = 14
 
 
 def escaped(column: str) -> Column:
@@ -43,41 +45,56 @@ def unescaped_role(sql: str) -> str:
 
 
 def tokens() -> Column:
-    """Estimated tokens of a turn: a quarter of its code points, and the template's."""
-    return (F.ceil(F.length("text") / 4) + OVERHEAD).cast("long")
+    """Estimated tokens of a turn: a quarter of the code points that it has when it is formatted."""
+    return F.ceil((F.length(escaped("text")) + F.length(escaped_role("role")) + TEMPLATE) / 4).cast("long")
 
 
-def placed(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """Turns with seq, the tokens before them, their window and their part: new, history or system."""
-    room = max(1, (budget - history) // 2)
-    history = min(history, room)
-    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("block", F.floor(F.col("turn") / BLOCK)).withColumn("tokens", tokens())
+def placed(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, size: Column | None = None) -> DataFrame:
+    """Turns with seq, their tokens, their window and their part: new, history or system."""
+    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), *([] if size is None else [size.cast("long").alias("tokens")]))
+    if size is None:
+        rows = rows.withColumn("tokens", tokens())
+    rows = rows.withColumn("block", F.floor(F.col("turn") / BLOCK))
     inside = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text")
     rows = rows.withColumn("own_seq", F.row_number().over(inside) - 1).withColumn("own_before", F.sum("tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens"))
-    sums = rows.groupBy("conv_id", "block").agg(F.sum("tokens").alias("t_"), F.count("*").alias("n_"))
-    earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("conv_id").alias("c_"), F.col("block").alias("b_"), F.coalesce(F.sum("t_").over(earlier), F.lit(0)).alias("t0_"), F.coalesce(F.sum("n_").over(earlier), F.lit(0)).alias("n0_"))
+    system_here = F.first(F.when((F.col("own_seq") == 0) & (F.col("role") == "system"), F.col("tokens")), ignorenulls=True)
+    sums = rows.groupBy("conv_id", "block").agg(F.sum("tokens").alias("t_"), F.count("*").alias("n_"), system_here.alias("s_"))
+    whole = Window.partitionBy("conv_id").orderBy("block")
+    earlier = whole.rowsBetween(Window.unboundedPreceding, -1)
+    # The first block's first turn alone can be the system turn.
+    system = F.coalesce(F.first("s_").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lit(0))
+    sums = sums.select(F.col("conv_id").alias("c_"), F.col("block").alias("b_"), F.coalesce(F.sum("t_").over(earlier), F.lit(0)).alias("t0_"), F.coalesce(F.sum("n_").over(earlier), F.lit(0)).alias("n0_"), system.alias("system"))
     rows = rows.join(sums, F.col("conv_id").eqNullSafe(F.col("c_")) & F.col("block").eqNullSafe(F.col("b_")))
-    rows = rows.select("conv_id", "role", "text", "tokens", (F.col("n0_") + F.col("own_seq")).alias("seq"), (F.col("t0_") + F.col("own_before")).alias("before"))
-    rows = rows.withColumn("window", F.floor(F.col("before") / room))
-    # Where each window begins, and where the two after it do: a turn can be history in those alone.
+    # What is left for new turns, and for repeated ones: a window's share is at least as large as its history.
+    left = F.greatest(F.lit(budget) - F.col("system"), F.lit(2))
+    rows = rows.withColumn("past", F.least(F.lit(history), F.floor(left / 2))).withColumn("room", left - F.col("past"))
+    rows = rows.select("conv_id", "role", "text", "tokens", "past", "room", (F.col("n0_") + F.col("own_seq")).alias("seq"), (F.col("t0_") + F.col("own_before")).alias("before"))
+    rows = rows.withColumn("cell", F.floor(F.col("before") / F.col("room"))).withColumn("across", F.floor((F.col("before") + F.col("tokens") - 1) / F.col("room")) > F.col("cell"))
+    # A turn across the end of a cell is its last; what stands in the cell before it is known from the cell's sums.
+    cells = rows.groupBy("conv_id", "cell").agg(F.sum("tokens").alias("t_")).select(F.col("conv_id").alias("c_"), F.col("cell").alias("k_"), "t_")
+    rows = rows.join(cells, F.col("conv_id").eqNullSafe(F.col("c_")) & (F.col("cell") == F.col("k_")))
+    rows = rows.withColumn("window", 2 * F.col("cell") + (F.col("across") & (F.col("t_") > F.col("room"))).cast("int"))
+    # Where each window begins, and where the three after it do: a turn can be history in those alone.
     begins = rows.groupBy("conv_id", "window").agg(F.min("before").alias("begin"))
     order = Window.partitionBy("conv_id").orderBy("window")
     lead = lambda c, k: F.lead(c, k).over(order)
-    begins = begins.select(F.col("conv_id").alias("c_"), F.col("window").alias("w_"), *[lead(c, k).alias(f"{c}{k}") for c in ("window", "begin") for k in (1, 2)])
-    rows = rows.join(begins, F.col("conv_id").eqNullSafe(F.col("c_")) & (F.col("window") == F.col("w_")))
-    later = [F.when((F.col(f"begin{k}") - F.col("before") <= history) & ~((F.col("seq") == 0) & (F.col("role") == "system")), F.struct(F.col(f"window{k}").alias("window"), F.lit("history").alias("part"))) for k in (1, 2)]
+    begins = begins.select(F.col("conv_id").alias("c_"), F.col("window").alias("w_"), *[lead(c, k).alias(f"{c}{k}") for c in ("window", "begin") for k in (1, 2, 3)])
+    rows = rows.drop("c_", "k_", "t_").join(begins, F.col("conv_id").eqNullSafe(F.col("c_")) & (F.col("window") == F.col("w_")))
+    later = [F.when((F.col(f"begin{k}") - F.col("before") <= F.col("past")) & ~((F.col("seq") == 0) & (F.col("role") == "system")), F.struct(F.col(f"window{k}").alias("window"), F.lit("history").alias("part"))) for k in (1, 2, 3)]
     places = F.filter(F.array(F.struct("window", F.lit("new").alias("part")), *later), lambda x: x.isNotNull())
-    own = rows.select("conv_id", "seq", "role", "text", F.explode(places).alias("p_")).select("conv_id", "seq", "role", "text", "p_.window", "p_.part")
-    system = rows.where("seq = 0 and role = 'system'").select(F.col("conv_id").alias("s_"), "seq", "role", "text")
+    shown = ("conv_id", "seq", "role", "text", "tokens")
+    own = rows.select(*shown, F.explode(places).alias("p_")).select(*shown, "p_.window", "p_.part")
+    system = rows.where("seq = 0 and role = 'system'").select(F.col("conv_id").alias("s_"), *shown[1:])
     again = begins.where("window1 is not null").select("c_", F.col("window1").alias("window")).join(system, F.col("c_").eqNullSafe(F.col("s_")))
-    return own.union(again.select(F.col("c_"), "seq", "role", "text", "window", F.lit("system")))
+    return own.union(again.select(F.col("c_"), *shown[1:], "window", F.lit("system")))
 
 
-def formatted(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """conv_id, window, text, loss (array of struct(start, size) in code points) and context (leading repeated turns)."""
-    rows = placed(turns, budget, history)
+def formatted(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, size: Column | None = None) -> DataFrame:
+    """conv_id, window, text, loss (array of struct(start, size) in code points) and context (leading repeated turns).
+
+    ``size`` gives a turn's tokens where a tokenizer has counted them; else they are estimated.
+    """
+    rows = placed(turns, budget, history, size)
     body = escaped("text")
     rows = rows.withColumn("head_", F.concat(F.lit("### "), escaped_role("role"), F.lit("\n"))).withColumn("body_", body)
     gathered = rows.groupBy("conv_id", "window").agg(F.array_sort(F.collect_list(F.struct("seq", F.col("part"), "role", "head_", "body_"))).alias("turns_"))
@@ -89,7 +106,10 @@ def formatted(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) ->
 
 
 def read_back(windows: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256 and formatted_chars, from formatted windows alone."""
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256 and formatted_chars, from formatted windows alone.
+
+    A digest is of a whole conversation, so here, and here alone, its windows are gathered in one row, once each.
+    """
     pieces = "slice(split(text, '\n</turn>\n', -1), context + 1, size(split(text, '\n</turn>\n', -1)) - 1 - context)"
     head = "substring_index(p, '\n', 1)"
     role = unescaped_role(f"substring({head}, 5)")

@@ -96,6 +96,32 @@ def test_chat(spark):
     assert all(len(w.text) / 4 <= 512 for w in windows) and any(w.context > 1 for w in windows)
 
 
+def test_chat_windows_keep_the_budget(spark):
+    """Random conversations, the turns that once broke it, and one with a large turn: by size, order and history."""
+    import random
+
+    rng = random.Random(4)
+    sizes = {0: [299, 597, 890, 890], **{c: [rng.choice([6, 20, 60, 200, 399]) for _ in range(rng.choice([3, 40, 200]))] for c in range(1, 60)}, 60: [30, 9000, 40, 50]}
+    roles = {(c, t): "system" if t == 0 and c % 2 == 0 else rng.choice(["user", "assistant"]) for c, ns in sizes.items() for t in range(len(ns))}
+    rows = [(c, t, roles[c, t], "x" * (4 * n - len(roles[c, t]) - chat.TEMPLATE)) for c, ns in sizes.items() for t, n in enumerate(ns)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    budget, history = 2048, 256
+    made = defaultdict(list)
+    for r in chat.placed(turns, budget, history).collect():
+        made[r.conv_id, r.window].append((r.seq, r.part, r.tokens))
+    news = defaultdict(list)
+    for (conv, window), got in sorted(made.items()):
+        got.sort()
+        own = [s for s, part, _ in got if part == "new"]
+        assert own == list(range(own[0], own[-1] + 1)) and [s for s, _, _ in got] == [s for s, part, _ in got if part == "system"] + list(range(len(got) - sum(part == "system" for _, part, _ in got) and min(s for s, part, _ in got if part != "system"), own[-1] + 1))
+        assert sum(n for _, _, n in got) <= budget or max(n for _, _, n in got) > 1000
+        assert sum(n for _, part, n in got if part == "history") <= history
+        system = conv % 2 == 0
+        assert not system or own[0] == 0 or got[0][:2] == (0, "system")
+        news[conv] += own
+    assert {c: ns for c, ns in news.items()} == {c: list(range(len(ns))) for c, ns in sizes.items()}
+
+
 def brute_spans(text):
     out = []
     key = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
