@@ -4,8 +4,9 @@ The sketch of a text keeps the k least distinct hashes of its shingles of five w
 empty one has none) and how many distinct shingles were seen, exactly while there are at most k. Sketches of parts merge
 into the sketch of the whole; two sketches estimate resemblance and containment, one estimates the distinct count.
 
-Null texts count as empty. Two sketches without hashes have resemblance 1, one without and one with have 0. Rows that
-are equal in doc_id and text follow each other in any order, which changes no result.
+Null texts count as empty, and only texts of white space have an empty sketch. Two sketches without hashes have resemblance
+1, one without and one with have 0. Rows that are equal in doc_id and text follow each other in any order, which changes
+no result.
 """
 
 from __future__ import annotations
@@ -13,16 +14,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hushql.llm.common import whole_text
+from hushql.llm.common import first_at, whole_text
 
 K = 64
 WORDS = 5
 SPACE = float(2**64)
+#: Most rows, about, that one task puts in order.
+RANGE_ROWS = 20_000
 
 
 def hashes(text: str, words: int = WORDS) -> str:
-    """SQL: distinct shingle hashes of a text; each chains the XXH64 of its words. Letter case and space are folded."""
-    parts = f"filter(split(lower({text}), '[^\\\\p{{L}}\\\\p{{N}}]+'), w -> w <> '')"
+    """SQL: distinct shingle hashes of a text; each chains the XXH64 of its words. Letter case and space are folded.
+
+    Words are runs of letters and digits; a text without any is read as it stands, split at white space.
+    """
+    parts = f"filter(if(rlike({text}, '[\\\\p{{L}}\\\\p{{N}}]'), split(lower({text}), '[^\\\\p{{L}}\\\\p{{N}}]+'), split({text}, '\\\\s+')), w -> w <> '')"
     chain = ", ".join(f"w[i + {k}]" for k in range(words))
     one = "xxhash64(array_join(w, ' '))"
     return f"flatten(transform(array({parts}), w -> if(size(w) = 0, cast(array() as array<bigint>), if(size(w) < {words}, array({one}), array_distinct(transform(sequence(0, size(w) - {words}), i -> xxhash64({chain})))))))"
@@ -72,34 +78,43 @@ def as_text(column: str) -> Column:
     return F.expr(f"array_join(transform({column}, h -> lpad(lower(hex(h)), 16, '0')), '')")
 
 
-def with_next(docs: DataFrame, spread: int = 4) -> DataFrame:
-    """doc_id, text and next_text: the text of the next row by descending doc_id, after the last that of the first.
+def _ranges(keys: DataFrame, n: int) -> tuple[Column, int]:
+    """Ascending array of bounds that deal ``keys(key)`` into ranges of some RANGE_ROWS rows or fewer, and how many ranges.
+
+    Bounds are every eighth of a sample that the keys' hashes choose, eight for a range; a scalar subquery, so that they
+    stay in Spark.
+    """
+    spread = 4 * int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, -(-n // min(RANGE_ROWS, max(256, n // spread))))
+    sample = keys.where(F.expr(f"pmod(xxhash64(key), {max(1, n // (8 * parts))}L) = 0"))
+    bounds = sample.agg(F.expr("filter(array_sort(collect_list(key)), (y, i) -> i % 8 = 7)").alias("bounds"))
+    return bounds.scalar(), parts
+
+
+def with_next(docs: DataFrame) -> DataFrame:
+    """doc_id, text, key, range_ and ghost_: with each range's rows the first row of the range after it, as a ghost.
 
-    Rows are dealt by quantiles of doc_id; each range also gets a copy of the first row of the range after it, so no
-    single task sees all rows. Ties go by text; null ids come last.
+    The order is descending by doc_id, then by the text's hash, null ids last, and after the last row comes the first.
+    Rows are dealt into ranges of a bounded size by that order and, among equal rows, by a number of the row, so neither
+    a hot id nor equal rows stand in one task, and no task sees all rows.
     """
-    spark = docs.sparkSession
-    parts = min(1024, spread * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bounds = docs.where("doc_id is not null").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.5 / parts) if parts > 1 else []
-    bounds = sorted({int(b) for b in bounds})
-    range_ = F.expr(f"size(filter(array({', '.join(f'{b}L' for b in bounds)}), b -> b <= doc_id))") if bounds else F.lit(0)
+    n = docs.count()
     base = docs.select("doc_id", whole_text().alias("text"))
-    base = base.withColumn("range_", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(range_))
-    # The first row of each range, by (doc_id, text): at most one more than the bounds.
-    key = base.select("range_", "doc_id", F.xxhash64("text").alias("hash_"))
-    first = key.groupBy("range_").agg(F.max(F.struct("doc_id", "hash_")).alias("top"))
-    order = Window.orderBy(F.desc("range_"))
-    above = F.coalesce(F.lag("range_").over(order), F.min("range_").over(Window.partitionBy()))
-    ghosts = first.select(F.col("range_").alias("from_"), F.col("top.doc_id").alias("top_id"), F.col("top.hash_").alias("top_hash"), above.alias("to_"))
-    here = (F.col("range_") == F.col("from_")) & F.col("doc_id").eqNullSafe(F.col("top_id")) & (F.xxhash64("text") == F.col("top_hash"))
-    copies = base.join(F.broadcast(ghosts), here).select("doc_id", "text", F.col("to_").alias("range_"), F.lit(True).alias("ghost_"))
-    return base.select("doc_id", "text", "range_", F.lit(False).alias("ghost_")).union(copies)
+    base = base.withColumn("key", F.struct("doc_id", F.xxhash64("text").alias("h"), F.xxhash64(F.monotonically_increasing_id()).alias("r")))
+    bounds, _ = _ranges(base.select("key"), n)
+    base = base.withColumn("bounds_", bounds).select("doc_id", "text", "key", F.expr(first_at("bounds_", "y > key")).alias("range_"))
+    first = base.groupBy("range_").agg(F.max_by("text", "key").alias("text"), F.max_by("doc_id", "key").alias("doc_id"), F.max("key").alias("key"))
+    ids = first.select(F.col("range_").alias("from_"))
+    order = Window.orderBy(F.desc("from_"))
+    above = ids.select("from_", F.coalesce(F.lag("from_").over(order), F.min("from_").over(Window.partitionBy())).alias("to_"))
+    copies = first.join(above, F.col("range_") == F.col("from_")).select("doc_id", "text", "key", F.col("to_").alias("range_"), F.lit(True).alias("ghost_"))
+    return base.select("doc_id", "text", "key", "range_", F.lit(False).alias("ghost_")).union(copies)
 
 
 def edited(docs: DataFrame, k: int = K) -> DataFrame:
     """Sketches of every text and of its edited text, with the likenesses the query reports."""
     rows = with_next(docs).withColumn("sketch_", sketch("text", k))
-    w = Window.partitionBy("range_").orderBy("ghost_", F.desc_nulls_last("doc_id"), F.desc(F.xxhash64("text")))
+    w = Window.partitionBy("range_").orderBy("ghost_", F.desc("key"))
     rows = rows.select("doc_id", "text", "sketch_", "ghost_", F.lead("text").over(w).alias("next_text"), F.lead("sketch_").over(w).alias("next_sketch")).where("not ghost_")
     rows = rows.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited_", F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 3 as int)), substring(next_text, 1, cast(n_chars div 3 as int)))"))
     return rows.withColumn("edited_sketch", sketch("edited_", k))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushql.llm.common import whole_text
+from hushql.llm.common import first_at, whole_text
 
 SCOPE = 200
 KEYWORD = "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
@@ -59,12 +59,6 @@ def spans(kind: str, pattern: str, keep: str = "true") -> Column:
     return F.expr(f"if(rlike(text_, {p}), transform(filter({made}, x -> x.keep), x -> named_struct('s', x.s, 'k', x.k, 'e', x.e)), cast(array() as array<{SPAN}>))")
 
 
-def first_at(array: str, holds: str) -> str:
-    """SQL: place, from 1, of the first element ``y`` of a sorted array for which ``holds``, as all after it do; by halving."""
-    half = f"element_at(transform(array(cast((b.lo + b.hi) div 2 as int)), h -> if(element_at(transform(array(element_at({array}, h)), y -> {holds}), 1), named_struct('lo', b.lo, 'hi', h), named_struct('lo', h + 1, 'hi', b.hi))), 1)"
-    return f"if(size({array}) = 0, 1, aggregate(sequence(1, cast(ceil(log2(size({array}) + 1)) as int)), named_struct('lo', 1, 'hi', size({array}) + 1), (b, round_) -> if(b.lo >= b.hi, b, {half}), b -> b.lo))"
-
-
 def _scoped(weak: str) -> Column:
     """Weak spans with their scopes: the paragraph, or SCOPE code points to either side where that is more."""
     low = f"element_at(transform(array({first_at('breaks_', 'y.e > w.s')}), i -> if(i = 1, 0, element_at(breaks_, i - 1).e)), 1)"
