@@ -2,11 +2,13 @@
 
 Documents and benchmark items are read as lower-case words. Shared seeds of five words find the items worth tiling;
 running Karp-Rabin then marks the longest matches that overlap no earlier one, again and again. An item leaks where
-tiles cover at least 80 % of it, in whatever order its parts stand.
+tiles cover at least 80 % of it, in whatever order its parts stand, or where one tile has LONG words. An item of fewer than
+five words has itself as its seed and leaks where it stands as a whole.
 
-Null and empty texts leak nothing; items of fewer than five words have no seed and are left out. Equal items and equal
-documents are each reported. Text lengths have no limit. The benchmark is read in blocks of bounded size, each held
-against all documents, so a large benchmark costs more passes and not more memory.
+Null and empty texts leak nothing. Equal items and equal documents are each reported. Text lengths have no limit. A
+benchmark of at most BLOCK_BYTES, which is measured, goes to every worker as an index of its seeds. A larger one is never
+gathered: seeds of documents and of items are joined, pairs that share too few seeds for the cover go, and each pair left
+is tiled in a row of its own.
 """
 
 from __future__ import annotations
@@ -14,17 +16,20 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushql.llm.common import whole_text
+from hushql.llm.common import cut, whole_text
 
 SEED_WORDS = 5
 COVERED = 0.8
-#: UTF-8 bytes of benchmark text that go to the workers at once.
+LONG = 50
+#: UTF-8 bytes of benchmark text up to which all of it goes to the workers.
 BLOCK_BYTES = 8 << 20
 #: Characters of documents whose words are in memory at once.
 CHARS = 4 << 20
@@ -110,24 +115,24 @@ def tile(a: np.ndarray, b: np.ndarray, least: int = SEED_WORDS) -> list[tuple[in
 
 
 class Index:
-    """Seeds of a block of benchmark items."""
+    """Seeds of benchmark items that are held in memory."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.ids = _Ids()
         self.items = []
         for item, text in items:
-            got = words(text)
-            if len(got) >= SEED_WORDS:
+            if got := words(text):
                 self.items.append((item, np.array([dict.setdefault(self.ids, w, len(self.ids)) for w in got], np.int64)))
-        seeds = [(h, k) for k, (_, ids) in enumerate(self.items) for h in set(rolling(ids, SEED_WORDS).tolist())]
-        seeds.sort()
-        self.seeds = np.array([h for h, _ in seeds], np.uint64)
-        self.owner = [k for _, k in seeds]
+        #: For each seed length the sorted hashes and their items.
+        self.seeds: dict[int, tuple[np.ndarray, list[int]]] = {}
+        for n in sorted({min(SEED_WORDS, len(ids)) for _, ids in self.items}):
+            pairs = sorted((h, k) for k, (_, ids) in enumerate(self.items) if min(SEED_WORDS, len(ids)) == n for h in set(rolling(ids, n).tolist()))
+            self.seeds[n] = np.array([h for h, _ in pairs], np.uint64), [k for _, k in pairs]
 
     def leaks(self, texts: list[str]) -> list[list[tuple]]:
         """For each text its tiled items with their cover."""
         out: list[list[tuple]] = [[] for _ in texts]
-        if not len(self.seeds):
+        if not self.seeds:
             return out
         ids, begin = [], [0]
         for text in texts:
@@ -136,38 +141,71 @@ class Index:
             begin.append(len(ids))
         ids = np.array(ids, np.int64)
         unknown = np.r_[0, np.cumsum(ids < 0)]
-        if len(ids) < SEED_WORDS:
-            return out
-        at = np.flatnonzero(unknown[SEED_WORDS:] == unknown[:-SEED_WORDS])
-        hashes = np.zeros(len(at), np.uint64)
-        with np.errstate(over="ignore"):
-            for k in range(SEED_WORDS):
-                hashes = hashes * BASE + ids[at + k].astype(np.uint64)
-        first, last = np.searchsorted(self.seeds, hashes, "left"), np.searchsorted(self.seeds, hashes, "right")
-        hit = first < last
-        at, first, last = at[hit], first[hit], last[hit]
-        text_of = np.searchsorted(begin, at, "right") - 1
-        for doc in np.unique(text_of).tolist():
-            mine = text_of == doc
-            seeds = defaultdict(list)
-            for j, x, y in zip(at[mine].tolist(), first[mine].tolist(), last[mine].tolist()):
-                for k in self.owner[x:y]:
-                    seeds[k].append(j)
-            for k, starts in seeds.items():
-                if leak := self._tiled(k, ids, np.array(starts), begin[doc]):
-                    out[doc].append(leak)
+        for n, (known, owner) in self.seeds.items():
+            if len(ids) < n:
+                continue
+            at = np.flatnonzero(unknown[n:] == unknown[:-n])
+            hashes = np.zeros(len(at), np.uint64)
+            with np.errstate(over="ignore"):
+                for k in range(n):
+                    hashes = hashes * BASE + ids[at + k].astype(np.uint64)
+            first, last = np.searchsorted(known, hashes, "left"), np.searchsorted(known, hashes, "right")
+            hit = first < last
+            at, first, last = at[hit], first[hit], last[hit]
+            text_of = np.searchsorted(begin, at, "right") - 1
+            for doc in np.unique(text_of).tolist():
+                mine = text_of == doc
+                seeds = defaultdict(list)
+                for j, x, y in zip(at[mine].tolist(), first[mine].tolist(), last[mine].tolist()):
+                    for k in owner[x:y]:
+                        seeds[k].append(j)
+                for k, starts in seeds.items():
+                    item, pattern = self.items[k]
+                    out[doc].append((item, *cover(pattern, ids, np.array(starts), begin[doc])))
         return out
 
-    def _tiled(self, k: int, ids: np.ndarray, starts: np.ndarray, begin: int) -> tuple:
-        """Tiles only what seeds cover: nothing else of the text can be in a match of that many words."""
-        item, pattern = self.items[k]
-        covered = np.unique((starts[:, None] + np.arange(SEED_WORDS)).ravel())
-        gap = np.flatnonzero(np.diff(covered) > 1) + 1
-        places = np.insert(covered, gap, -1)
-        text = np.where(places < 0, -1, ids[places])
-        tiles = tile(pattern, text)
-        matched = sum(n for _, _, n in tiles)
-        return item, matched / len(pattern), matched, [(i, int(places[j]) - begin, n) for i, j, n in tiles]
+
+def cover(pattern: np.ndarray, ids: np.ndarray, starts: np.ndarray, begin: int = 0) -> tuple[float, int, list[tuple[int, int, int]]]:
+    """Share and number of an item's words that tiles cover, and the tiles (start in the item, in the text, words).
+
+    ``starts`` are the places of shared seeds: nothing but what they cover can be in a match of that many words.
+    """
+    n = min(SEED_WORDS, len(pattern))
+    covered = np.unique((starts[:, None] + np.arange(n)).ravel())
+    gap = np.flatnonzero(np.diff(covered) > 1) + 1
+    places = np.insert(covered, gap, -1)
+    tiles = tile(pattern, np.where(places < 0, -1, ids[places]), n)
+    matched = sum(n for _, _, n in tiles)
+    return matched / len(pattern), matched, [(i, int(places[j]) - begin, n) for i, j, n in tiles]
+
+
+def leaked(share: float, tiles: list[tuple[int, int, int]], covered: float) -> bool:
+    return share >= covered or any(n >= LONG for _, _, n in tiles)
+
+
+def content_seeds(text: str, sizes: list[int]) -> dict[int, int]:
+    """Hashes of a text's seeds of these sizes by their content, as signed longs, and how often each stands there."""
+    own = np.array([xxhash.xxh64_intdigest(w.encode()) for w in words(text)], np.uint64)
+    out: dict[int, int] = {}
+    for n in sizes:
+        if len(own) >= n:
+            found, times = np.unique(rolling(own, n) * np.uint64(2 * n + 1), return_counts=True)
+            out |= zip(found.view(np.int64).tolist(), times.tolist())
+    return out
+
+
+def tiled(item: str, text: str) -> tuple[float, int, list[tuple[int, int, int]]]:
+    """Cover of one item by one text."""
+    ids: dict[str, int] = {}
+    pattern = np.array([ids.setdefault(w, len(ids)) for w in words(item)], np.int64)
+    there = np.array([ids.get(w, -1) for w in words(text)], np.int64)
+    n = min(SEED_WORDS, len(pattern))
+    starts = np.flatnonzero(np.isin(rolling(there, n), rolling(pattern, n))) if len(there) >= n else np.zeros(0, int)
+    return cover(pattern, there, starts) if len(starts) else (0.0, 0, [])
+
+
+def _leak(item_id, share: float, matched: int, tiles: list) -> dict:
+    return {"item_id": item_id, "covered": share, "matched": matched, "tiles": [{"item_start": i, "start": j, "words": n} for i, j, n in tiles]}
 
 
 def _chunks(texts: pd.Series):
@@ -183,7 +221,7 @@ def _chunks(texts: pd.Series):
 
 
 def leaks(text: Column, items: list[tuple[int, str]], covered: float = COVERED) -> Column:
-    """Array of the benchmark items of which tiles cover at least ``covered``."""
+    """Array of the items that leak into a text, for a benchmark that is held in memory."""
 
     @F.pandas_udf(LEAKS)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -192,29 +230,70 @@ def leaks(text: Column, items: list[tuple[int, str]], covered: float = COVERED)
             rows = []
             for some in _chunks(texts):
                 for found in index.leaks(some):
-                    rows.append([{"item_id": i, "covered": c, "matched": m, "tiles": [{"item_start": x, "start": y, "words": n} for x, y, n in tiles]} for i, c, m, tiles in sorted(found, key=lambda f: (f[0] is None, f[0])) if c >= covered])
+                    rows.append([_leak(*f) for f in sorted(found, key=lambda f: (f[0] is None, f[0])) if leaked(f[1], f[3], covered)])
             yield pd.Series(rows, dtype=object)
 
     return run(text)
 
 
-def blocks(benchmark: DataFrame):
-    """Items by blocks of at most BLOCK_BYTES of text, or one item."""
+def joined_leaks(texts: DataFrame, items: DataFrame, covered: float = COVERED) -> DataFrame:
+    """text_hash and leaks of texts(text_hash, text) by a join of seeds with those of items(item_id, text)."""
+
+    @F.pandas_udf("long")
+    def size(column: pd.Series) -> pd.Series:
+        return pd.Series([len(words(t)) for t in column], dtype="int64")
+
+    def seeds(sizes: list[int]):
+        @F.pandas_udf("array<struct<seed:long,times:int>>")
+        def run(column: pd.Series) -> pd.Series:
+            return pd.Series([[{"seed": h, "times": n} for h, n in content_seeds(t, sizes).items()] for t in column], dtype=object)
+
+        return run
+
+    @F.pandas_udf("covered double, matched int, tiles array<struct<item_start:int,start:int,words:int>>")
+    def run(item: pd.Series, text: pd.Series) -> pd.DataFrame:
+        made = [_leak(None, *tiled(i, t)) for i, t in zip(item, text)]
+        return pd.DataFrame([{k: m[k] for k in ("covered", "matched", "tiles")} for m in made], columns=["covered", "matched", "tiles"])
+
+    items = cut(items.select("item_id", whole_text().alias("item")).withColumn("item_hash", F.xxhash64("item")).withColumn("m", size("item")).where("m > 0"))
+    kinds = items.groupBy("item_hash").agg(F.any_value("item").alias("item"), F.max("m").alias("m"))
+    sizes = [r.n for r in kinds.select(F.least("m", F.lit(SEED_WORDS)).alias("n")).distinct().orderBy("n").collect()]
+    of = {n: seeds([n]) for n in sizes}
+    own = reduce(DataFrame.union, [kinds.where(F.least("m", F.lit(SEED_WORDS)) == n).select("item_hash", "m", F.explode(of[n]("item")).alias("s")) for n in sizes]) if sizes else None
+    if own is None:
+        return texts.select("text_hash", F.lit(None).cast(LEAKS).alias("leaks")).limit(0)
+    own = own.select("item_hash", "m", F.col("s.seed").alias("seed"), F.col("s.times").alias("times"))
+    there = texts.select("text_hash", F.explode(seeds(sizes)("text")).alias("s")).select("text_hash", F.col("s.seed").alias("seed"))
+    # Tiles of five words or more that cover the share asked for hold a seed for each five words of it at least.
+    least = F.least(F.ceil(F.col("m") * covered / SEED_WORDS), F.lit(LONG - SEED_WORDS + 1))
+    pairs = there.join(own, "seed").groupBy("text_hash", "item_hash").agg(F.sum("times").alias("shared"), F.max("m").alias("m")).where(F.col("shared") >= least)
+    rows = pairs.select("text_hash", "item_hash").join(kinds.select("item_hash", "item"), "item_hash").join(texts, "text_hash")
+    made = rows.select("text_hash", "item_hash", run("item", "text").alias("made"))
+    made = made.where((F.col("made.covered") >= covered) | F.exists("made.tiles", lambda t: t["words"] >= LONG)).join(items.select("item_id", "item_hash"), "item_hash")
+    one = F.struct(F.col("item_id").isNull().alias("none"), "item_id", F.col("made.covered").alias("covered"), F.col("made.matched").alias("matched"), F.col("made.tiles").alias("tiles"))
+    return made.groupBy("text_hash").agg(F.array_sort(F.collect_list(one)).alias("a")).select("text_hash", F.transform("a", lambda x: F.struct(x["item_id"], x["covered"], x["matched"], x["tiles"])).cast(LEAKS).alias("leaks"))
+
+
+def leaking(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED) -> DataFrame:
+    """doc (all columns of ``docs``) and leaks, an array of what leaks into each row's whole text."""
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), whole_text().alias("text"))
+    benchmark = benchmark.select("item_id", "text").where(F.length("text") > 0)
     total = benchmark.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
-    n = max(1, -(-2 * total // BLOCK_BYTES))
-    for k in range(n):
-        yield [(i, t) for i, t in benchmark.where(F.expr(f"pmod(xxhash64(item_id, text), {n}L) = {k}")).select("item_id", "text").toLocalIterator()]
-
-
-def with_leaks(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, column: str = "leaks_") -> DataFrame:
-    """``docs`` and an array of what leaks into each row's whole text."""
-    found = [leaks(whole_text(), items, covered) for items in blocks(benchmark)]
-    for k, part in enumerate(found):
-        docs = docs.withColumn(f"{column}{k}", part)
-    return docs.withColumn(column, F.concat(*[F.col(f"{column}{k}") for k in range(len(found))])).drop(*[f"{column}{k}" for k in range(len(found))])
+    if total <= BLOCK_BYTES:
+        items = [(i, t) for i, t in benchmark.collect()]
+        return rows.select("doc", leaks(F.col("text"), items, covered).alias("leaks"))
+    rows = rows.select("doc", "text", F.xxhash64("text").alias("own_hash"))
+    texts = cut(rows.groupBy(F.col("own_hash").alias("text_hash")).agg(F.any_value("text").alias("text")))
+    found = joined_leaks(texts, benchmark, covered)
+    return rows.join(found, F.col("own_hash") == F.col("text_hash"), "left").select("doc", F.coalesce("leaks", F.expr(f"cast(array() as {LEAKS})")).alias("leaks"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED) -> DataFrame:
     """doc_id, item_id, covered, matched words and tiles: one row for each item that leaks into a document."""
-    found = with_leaks(docs.select("doc_id", "text"), benchmark, covered)
-    return found.select("doc_id", F.explode("leaks_").alias("leak")).select("doc_id", "leak.*")
+    found = leaking(docs.select("doc_id", "text"), benchmark, covered)
+    return found.select("doc.doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED) -> DataFrame:
+    """The rows of ``docs`` into which no item leaks."""
+    return leaking(docs, benchmark, covered).where(F.size("leaks") == 0).select("doc.*")

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+import regex
 import tiktoken
 import xxhash
 from pyspark.sql import functions as F
@@ -39,24 +40,80 @@ def sha(text):
     return hashlib.sha256(text if isinstance(text, bytes) else text.encode()).hexdigest()
 
 
-def test_decontamination(spark, docs, rows):
-    benchmark = table(spark, DATA, "benchmark").union(spark.createDataFrame([(900, None), (901, ""), (902, "too short"), (None, "one two three four five six")], "item_id long, text string"))
+def naive_tiles(a, b, least):
+    """Greedy string tiling by definition: mark the longest match of open words, the first of equal ones, until none is left."""
+    open_a, open_b, out = [True] * len(a), [True] * len(b), []
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                k = 0
+                while i + k < len(a) and j + k < len(b) and open_a[i + k] and open_b[j + k] and a[i + k] == b[j + k]:
+                    k += 1
+                best = max(best, (k, -i, -j))
+        k, i, j = best[0], -best[1], -best[2]
+        if k < least:
+            return sorted(out)
+        out.append((i, j, k))
+        open_a[i : i + k] = open_b[j : j + k] = [False] * k
+
+
+def test_tiles_by_definition():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(6)
+    for _ in range(120):
+        letters = rng.choice([2, 3, 5, 40])
+        a, b = ([rng.randrange(letters) for _ in range(rng.choice([3, 12, 30]))] for _ in range(2))
+        if rng.random() < 0.5:
+            b = b + a[len(a) // 2 :] + b[:3] + a[: len(a) // 2]
+        least = rng.choice([1, 2, 5])
+        assert decontam.tile(np.array(a), np.array(b), least) == naive_tiles(a, b, least)
+
+
+@pytest.mark.parametrize("block", [8 << 20, 500])
+def test_decontamination(spark, docs, rows, monkeypatch, block):
+    """In memory and by the join of seeds: whole, turned, partly covered and short items against all pairs."""
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", block)
+    long_ = " ".join(f"w{i}" for i in range(200))
+    benchmark = table(spark, DATA, "benchmark").union(spark.createDataFrame([(900, None), (901, ""), (902, "qqfour words long here"), (903, "Zzyzx"), (904, long_), (905, long_), (None, "one two three four five six")], "item_id long, text string"))
     items = [(r.item_id, decontam.words(r.text)) for r in benchmark.collect()]
     passage = items[3][1]
     turned = " ".join(passage[len(passage) // 2 :] + ["between"] + passage[: len(passage) // 2])
-    part = " ".join(passage[: int(len(passage) * 0.6)])
-    more = spark.createDataFrame([(20_000, "Before. " + turned.upper()), (20_001, part), (20_002, " ".join(x + " zz" for x in passage))], "doc_id long, text string")
-    got = {(r.doc_id, r.item_id): r.covered for r in decontam.report(docs.select("doc_id", "text").union(more), benchmark).collect()}
-    assert got[20_000, items[3][0]] == 1.0 and not {20_001, 20_002} & {d for d, _ in got}
-    for doc, text in rows:
+    more = [(20_000, "Before. " + turned.upper()), (20_001, " ".join(passage[: int(len(passage) * 0.6)])), (20_002, " ".join(x + " zz" for x in passage)), (20_003, "so qqfour, words LONG here it is"), (20_004, "a zzyzx b"), (20_005, "one two three four x five six"), (20_006, "one two three four five and six")]
+    more += [(20_007, " ".join(f"w{i}" for i in range(60, 115))), (20_008, " ".join(f"w{i}" for i in range(60, 105)))]
+    found = decontam.report(docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string")), benchmark).collect()
+    got = Counter((r.doc_id, r.item_id, round(r.covered, 9), r.matched) for r in found)
+    want = Counter()
+    for doc, text in [*rows, *more]:
         w = decontam.words(text)
-        five = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
         for item, p in items:
-            shared = len(p) >= 5 and any(tuple(p[i : i + 5]) in five for i in range(len(p) - 4))
-            if f" {' '.join(p)} " in f" {' '.join(w)} " and len(p) >= 5:
-                assert got[doc, item] == 1.0
-            elif not shared:
-                assert (doc, item) not in got
+            n = min(5, len(p))
+            there = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+            if not p or not any(tuple(p[i : i + n]) in there for i in range(len(p) - n + 1)):
+                continue
+            near = sorted({j + d for j in range(len(w) - n + 1) if tuple(w[j : j + n]) in {tuple(p[i : i + n]) for i in range(len(p) - n + 1)} for d in range(n)})
+            b = [x for i, j in enumerate(near) for x in ([None] if i and near[i - 1] < j - 1 else []) + [w[j]]]
+            tiles = naive_tiles(p, b, n)
+            matched = sum(k for _, _, k in tiles)
+            if matched / len(p) >= 0.8 or any(k >= 50 for _, _, k in tiles):
+                want[doc, item, round(matched / len(p), 9), matched] += 1
+    assert got == want
+    assert {(20_000, items[3][0]), (20_003, 902), (20_004, 903), (20_006, None), (20_007, 904), (20_007, 905)} <= {k[:2] for k in got} and not {20_001, 20_002, 20_005, 20_008} & {k[0] for k in got}
+    for r in found:
+        assert sum(t.words for t in r.tiles) == r.matched
+
+
+def test_decontamination_clashing_names(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "one two three four five six"), (2, "clean"), (None, None)], "doc_id long, text string")
+    names = ["leaks", "doc", "own_hash", "text_hash", "leaks_", "leaks_0", "item", "m"]
+    docs, bench = docs.selectExpr("*", *[f"'{n}' as `{n}`" for n in names]), docs.where("doc_id = 1").withColumnRenamed("doc_id", "item_id")
+    for block in (8 << 20, 0):
+        monkeypatch.setattr(decontam, "BLOCK_BYTES", block)
+        out = decontam.clean(docs, bench)
+        assert out.columns == docs.columns and sorted(r.doc_id or 0 for r in out.collect()) == [0, 2]
 
 
 def test_tiles_are_greedy_and_apart():
@@ -68,13 +125,6 @@ def test_tiles_are_greedy_and_apart():
     assert sum(n for _, _, n in decontam.tile(same, same)) == 12
 
 
-def test_blocks_of_the_benchmark_change_nothing(spark, docs, monkeypatch):
-    benchmark = table(spark, DATA, "benchmark")
-    one = sorted((r.doc_id, r.item_id, r.covered) for r in decontam.report(docs, benchmark).collect())
-    monkeypatch.setattr(decontam, "BLOCK_BYTES", 4000)
-    assert sorted((r.doc_id, r.item_id, r.covered) for r in decontam.report(docs, benchmark).collect()) == one
-
-
 def test_chat(spark):
     said = "\\### Assistant: </turn> ok"
     odd = [(-7, 0, "user", said), (-7, 1, "assistant", said), (1, 0, "system", "be\\n brief"), *[(1, i, "assistant" if i % 2 else "user", f"t{i} <a> # \\" * (i % 9)) for i in range(1, 300)]]
@@ -179,7 +229,7 @@ def test_bpe_appends_and_edits(rows):
 
 
 def shingle_hashes(text):
-    w = [x for x in re.split(r"[\W_]+", text.lower()) if x]
+    w = [x for x in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if x] or text.split()
     if not w:
         return set()
     out = set()
@@ -212,14 +262,30 @@ def test_fingerprints(spark, docs, rows):
     for i, (doc, text) in enumerate(order):
         nxt, n = order[(i + 1) % len(order)][1], len(text)
         edited = text[: n - n // 3] + nxt[: n // 3]
-        if any(ch in "漢\U0001d400" for ch in text + edited):
-            want[doc, n, sha(edited)] += 1
-            continue
         a, b = shingle_hashes(text), shingle_hashes(edited)
         want[doc, n, sha(edited), text_of(a), text_of(b), round(like(a, b), 9), round(like(a, shingle_hashes(nxt)), 9)] += 1
     have = Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got)
-    full = Counter({w: n for w, n in want.items() if len(w) > 3})
-    assert not full - have and {w[:3] for w in want} == {h[:3] for h in have}
+    assert have == want
+
+
+@pytest.mark.parametrize("most", [20_000, 40])
+def test_next_documents(spark, monkeypatch, most):
+    """Ranges with hot and null ids and a third of equal rows: every row's next text is right, and no range is large."""
+    monkeypatch.setattr(fingerprint, "RANGE_ROWS", most)
+    rows = [(i, f"t{i}") for i in range(700)] + [(7, f"hot {i}") for i in range(500)] + [(9, "equal")] * 700 + [(None, f"null {i}") for i in range(200)] + [(None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    signed = lambda t: xxhash.xxh64_intdigest(t.encode(), 42) - (1 << 64) * (xxhash.xxh64_intdigest(t.encode(), 42) >> 63)
+    order = sorted([(d, t or "") for d, t in rows], key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1])), reverse=True)
+    want = Counter((d, sha(t[: len(t) - len(t) // 3] + order[(i + 1) % len(order)][1][: len(t) // 3])) for i, (d, t) in enumerate(order))
+    assert Counter((r.doc_id, r.edited_sha256) for r in fingerprint.report(docs).collect()) == want
+    sizes = [r["count"] for r in fingerprint.with_next(docs).groupBy("range_").count().collect()]
+    assert max(sizes) < 6 * max(256, most if most < 1000 else 256)
+
+
+def test_symbols_are_not_all_alike(spark):
+    rows = spark.createDataFrame([("☃ ☃☃ !",), ("🙂 🙂",), (" \n",), ("",)], "text string").withColumn("s", fingerprint.sketch("text"))
+    a, b, c, d = [r.s for r in rows.collect()]
+    assert a and b and a != b and c == d == []
 
 
 def test_sketches_merge_and_estimate(spark):
