@@ -233,7 +233,8 @@ def leaks(text: Column, items: list[tuple[int, str]], covered: float = COVERED)
                     rows.append([_leak(*f) for f in sorted(found, key=lambda f: (f[0] is None, f[0])) if leaked(f[1], f[3], covered)])
             yield pd.Series(rows, dtype=object)
 
-    return run(text)
+    # An explode of the array brings a filter on it with it; Spark would find the leaks once more for that.
+    return run.asNondeterministic()(text)
 
 
 def joined_leaks(texts: DataFrame, items: DataFrame, covered: float = COVERED) -> DataFrame:
