@@ -1,12 +1,15 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and their first four to seven letters, each as seen once, twice and three times at least, those that labelled texts of one class have at least LIFT times as often
-as the other's, beyond chance by a likelihood-ratio test. The examples stand in an inverted index whose blocks of BLOCK examples know each term's largest weight:
-a search scores blocks from the highest bound down and stops when the next bound can't reach the k-th best, so its
-neighbours are exact. Votes weighted by distance are calibrated on learning rows kept out of the index.
-
-Null and empty texts, and texts without any such term, get the learned rate of such texts. With no labelled rows every
-score is 0.5. Learning takes a bounded, documented sample (PER_CLASS rows a class); all rows are scored, whole.
+Terms are all words and all their first four to seven letters, hashed to 64 bits. A term weighs the square of its
+frequency times its inverse document frequency, and a text's norm is that of the whole text. Terms in more than STOP of
+the texts are stop words and weigh nothing; terms that no example has count as seen in none. Examples stand in an inverted
+index whose blocks of BLOCK examples know each term's largest weight: a search scores blocks from the highest bound down
+and stops when the next bound can't reach the k-th best, so its neighbours are exact. Votes weighted by distance are
+calibrated on learning rows kept out of the index.
+
+Null and empty texts, and texts without any term of an example, get the learned rate of such texts. With no labelled rows
+every score is 0.5. Learning takes a bounded, documented sample (PER_CLASS rows a class), in which each class counts as often as it
+is labelled; all rows are scored, whole.
 """
 
 from __future__ import annotations
@@ -16,112 +19,158 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushql.llm.common import crc_fold, labelled, whole_text
 
 FOLDS, HELD = 3, 1
-PER_CLASS = 4000
-MOST_TERMS = 2048
-LIFT, LEAST_G2, LEAST_ROWS = 4.0, 30.0, 4
+PER_CLASS = 3000
+STOP = 0.05
 NEIGHBOURS = 15
 BLOCK = 32
+#: Blocks that a search scores before it looks at the bounds again.
+AT_FIRST = 4
 PRIOR = 0.2
 TOXIC_FROM = 0.7
 WORD = re.compile(r"\w+").findall
 EVIDENCE = 3
+#: Lengths of the beginnings that are terms beside the whole word (0).
+KINDS = (0, 4, 5, 6, 7)
+#: Distinct words whose terms a worker keeps; beyond it they are forgotten and found again.
+CACHE = 200_000
 
 
-KINDS = (0, 4, 5, 6, 7)
-TIMES = (1, 2, 3)
+class _Terms(dict):
+    """Hashes of the terms of a word, found on first use."""
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) > CACHE:
+            self.clear()
+        digest = xxhash.xxh64_intdigest
+        out = self[word] = tuple(digest(word[:kind] if kind else word, kind) for kind in KINDS if len(word) > kind)
+        return out
 
 
-def counted(text: str, known: dict[int, dict] | None = None) -> dict[int, Counter]:
-    """How often each word (kind 0) and each beginning of so many letters occurs; of ``known`` ones if given."""
-    words = WORD(text.lower())
-    out = {}
-    for kind in KINDS:
-        got = [w[:kind] for w in words if len(w) > kind] if kind else words
-        out[kind] = Counter(got if known is None else filter(known[kind].__contains__, got))
-    return out
+def counted(text: str, of: _Terms) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a text's terms, ascending, and how often each occurs."""
+    words = Counter(WORD(text.lower()))
+    hashes, times = [], []
+    for word, n in words.items():
+        got = of[word]
+        hashes += got
+        times += [n] * len(got)
+    terms, place = np.unique(np.array(hashes, np.uint64), return_inverse=True)
+    return terms, np.bincount(place, times, len(terms))
 
 
-def terms(text: str) -> set[str]:
-    return {f"{kind}:{times}:{w}" for kind, seen in counted(text).items() for w, n in seen.items() for times in TIMES if n >= times}
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of ranges, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class Index:
-    """Inverted index with block maxima over unit vectors of examples."""
+    """Inverted index with block maxima over unit vectors (terms, weights), terms as numbers below ``n_terms``."""
 
-    def __init__(self, rows: list[dict[int, float]], n_terms: int):
-        self.order = sorted(range(len(rows)), key=lambda i: (max(rows[i], key=lambda t: (rows[i][t], -t)), i))
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
+        # Examples of one heaviest term stand together, so that a block's bounds are near its own weights.
+        heaviest = [(int(t[w.argmax()]) if len(t) else -1) for t, w in rows]
+        self.order = np.array(sorted(range(len(rows)), key=lambda i: (heaviest[i], i)), np.int64)
         self.n = len(rows)
-        self.blocks = max(1, -(-self.n // BLOCK))
-        self.top = np.zeros((n_terms, self.blocks))
-        self.postings: list[list[tuple[np.ndarray, np.ndarray]]] = []
-        lists: list[dict[int, list[tuple[int, float]]]] = [{} for _ in range(n_terms)]
-        for place, i in enumerate(self.order):
-            for t, w in rows[i].items():
-                lists[t].setdefault(place // BLOCK, []).append((place % BLOCK, w))
-                self.top[t, place // BLOCK] = max(self.top[t, place // BLOCK], w)
-        self.lists = [{b: (np.array([p for p, _ in x]), np.array([w for _, w in x])) for b, x in by.items()} for by in lists]
-
-    def search(self, query: dict[int, float], k: int) -> list[tuple[int, float]]:
+        self.blocks = -(-self.n // BLOCK)
+        sizes = [len(rows[i][0]) for i in self.order]
+        term = np.concatenate([rows[i][0] for i in self.order]) if self.n else np.zeros(0, np.int64)
+        weight = np.concatenate([rows[i][1] for i in self.order]) if self.n else np.zeros(0)
+        place = np.repeat(np.arange(self.n), sizes)
+        by = np.lexsort((place, term))
+        term, self.place, self.weight = term[by], place[by].astype(np.int32), weight[by].astype(np.float32)
+        pair = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (self.place[1:] // BLOCK != self.place[:-1] // BLOCK)]) if len(term) else np.zeros(0, np.int64)
+        #: One for each term and block: its block, largest weight and postings.
+        self.block, self.start = (self.place[pair] // BLOCK).astype(np.int32), pair.astype(np.int32)
+        self.size = np.diff(np.r_[pair, len(term)]).astype(np.int32)
+        self.top = np.maximum.reduceat(self.weight, pair) if len(pair) else np.zeros(0, np.float32)
+        self.first = np.searchsorted(term[pair], np.arange(n_terms + 1)).astype(np.int32)
+
+    def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[int, float]]:
         """The k examples of highest positive cosine with the query, ties by the lower index; exact."""
-        if not self.n or not query:
+        sizes = self.first[terms + 1] - self.first[terms]
+        pairs = ranges(self.first[terms], sizes)
+        if not len(pairs):
             return []
-        used = sorted(query)
-        bound = np.array([query[t] for t in used]) @ self.top[used]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) >= k and bound[b] < -best[k - 1][0] - 1e-12:
+        query = np.repeat(weights, sizes)
+        of = self.block[pairs]
+        bound = np.bincount(of, query * self.top[pairs], self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        found, scores, least = np.zeros(0, np.int64), np.zeros(0), 0.0
+        chosen = np.zeros(self.blocks, bool)
+        # The blocks of the highest bounds give a k-th best; then those that can still reach it.
+        for some in (order[:AT_FIRST], order[AT_FIRST:]):
+            some = some[bound[some] >= least - 1e-9]
+            if not len(some):
                 break
-            score = np.zeros(BLOCK)
-            for t in used:
-                if (got := self.lists[t].get(b)) is not None:
-                    score[got[0]] += query[t] * got[1]
-            best += [(-round(float(score[p]), 12), self.order[b * BLOCK + p]) for p in np.flatnonzero(score > 0).tolist()]
-            best = sorted(best)[:k]
-        return [(i, -s) for s, i in best]
+            chosen[:] = False
+            chosen[some] = True
+            mine = np.flatnonzero(chosen[of])
+            count = self.size[pairs[mine]]
+            posts = ranges(self.start[pairs[mine]], count)
+            got = np.bincount(self.place[posts], np.repeat(query[mine], count) * self.weight[posts], self.n)
+            hit = np.flatnonzero(got > 0)
+            found, scores = np.r_[found, self.order[hit]], np.r_[scores, np.round(got[hit], 12)]
+            if len(scores) >= k:
+                least = float(-np.partition(-scores, k - 1)[k - 1])
+                kept = scores >= least
+                found, scores = found[kept], scores[kept]
+        best = np.lexsort((found, -scores))[:k]
+        return list(zip(found[best].tolist(), scores[best].tolist()))
 
 
 class Model:
-    def __init__(self, vocabulary: dict[str, int], idf: np.ndarray, examples: list[tuple[int, int, dict[int, float]]]):
-        self.vocabulary, self.idf = vocabulary, idf
-        self.known: dict[int, dict[str, list[tuple[int, int]]]] = {kind: {} for kind in KINDS}
-        for term, i in vocabulary.items():
-            kind, times, word = term.split(":", 2)
-            self.known[int(kind)].setdefault(word, []).append((int(times), i))
-        self.examples = [e for e in examples if e[2]]
-        self.index = Index([e[2] for e in self.examples], len(vocabulary))
+    """Examples as (doc_id, label, hashes, times); ``share`` weighs an example of each label."""
+
+    def __init__(self, examples: list[tuple], share: tuple[float, float]):
+        self.examples = examples
+        self.of = _Terms()
+        counts = [np.full(len(e[2]), share[e[1]]) for e in examples]
+        self.n = float(sum(share[e[1]] for e in examples))
+        every = np.concatenate([e[2] for e in examples]) if examples else np.zeros(0, np.uint64)
+        self.terms, place = np.unique(every, return_inverse=True)
+        seen = np.bincount(place, np.concatenate(counts), len(self.terms)) if examples else np.zeros(0)
+        self.idf = np.where(seen > STOP * self.n, 0.0, np.log((1 + self.n) / (1 + seen)) + 1)
+        self.unseen = float(np.log(1 + self.n) + 1)
+        self.index = Index([self.unit(e[2], e[3]) for e in examples], len(self.terms))
         self.slope, self.shift, self.rate = 1.0, 0.0, 0.5
-        self.cache: dict[tuple[int, ...], tuple[float, str]] = {}
 
-    def found(self, text: str) -> tuple[int, ...]:
-        """Terms of the vocabulary that a text has."""
-        return tuple(sorted(i for kind, seen in counted(text, self.known).items() for w, n in seen.items() for times, i in self.known[kind][w] if n >= times))
+    def unit(self, hashes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Known terms that weigh, as numbers, with their share of the whole text's unit vector."""
+        at = np.minimum(np.searchsorted(self.terms, hashes), max(0, len(self.terms) - 1))
+        known = self.terms[at] == hashes if len(self.terms) else np.zeros(len(hashes), bool)
+        weight = np.where(known, self.idf[at] if len(self.terms) else 0.0, self.unseen) * times**2
+        norm = float(np.sqrt((weight**2).sum()))
+        use = known & (weight > 0)
+        return at[use].astype(np.int64), weight[use] / max(norm, 1e-300)
 
-    def vote(self, found: tuple[int, ...]) -> tuple[float, list[tuple[int, float]]]:
+    def vote(self, near: list[tuple[int, float]]) -> float:
         """Votes for label 1 against label 0 as log odds, weighted by 1 / (distance + 0.1)."""
-        near = self.index.search(unit(found, self.idf), NEIGHBOURS)
-        one, zero = PRIOR, PRIOR
+        sums = [PRIOR, PRIOR]
         for i, cosine in near:
-            weight = 1 / (1.1 - min(1.0, cosine))
-            if self.examples[i][1]:
-                one += weight
-            else:
-                zero += weight
-        return float(np.log(one / zero)), near
-
-    def calibrate(self, rows: list[tuple[tuple, int]], weight: tuple[float, float]) -> None:
-        """Fit the logistic map of the votes, and the rate of texts without terms, to rows kept out of the index."""
-        plain = [y for c, y in rows if not c]
-        self.rate = (sum(weight[1] for y in plain if y) + 0.5 * min(weight)) / max(1e-9, sum(weight[y] for y in plain) + min(weight))
-        data = [(self.vote(c)[0], y) for c, y in rows if c]
+            sums[self.examples[i][1]] += 1 / (1.1 - min(1.0, cosine))
+        return float(np.log(sums[1] / sums[0]))
+
+    def near(self, hashes: np.ndarray, times: np.ndarray) -> list[tuple[int, float]]:
+        return self.index.search(*self.unit(hashes, times), NEIGHBOURS)
+
+    def calibrate(self, rows: list[tuple], share: tuple[float, float]) -> None:
+        """Fit the logistic map of the votes, and the rate of texts without neighbours, to rows kept out of the index."""
+        found = [(self.near(h, t), y) for _, y, h, t in rows]
+        plain = [y for near, y in found if not near]
+        self.rate = (sum(share[1] for y in plain if y) + 0.5 * min(share)) / max(1e-9, sum(share[y] for y in plain) + min(share))
+        data = [(self.vote(near), y) for near, y in found if near]
         if len({y for _, y in data}) == 2:
             x, y = np.array([d[0] for d in data]), np.array([d[1] for d in data], float)
-            w = np.where(y > 0, weight[1], weight[0])
+            w = np.where(y > 0, share[1], share[0])
             w /= w.mean()
             theta = np.array([1.0, 0.0])
             a = np.stack([x, np.ones_like(x)], 1)
@@ -135,60 +184,37 @@ class Model:
 
     def score(self, text: str) -> tuple[float, str]:
         """Score and evidence (doc_id:label:cosine of the nearest examples)."""
-        found = self.found(text)
-        if not found:
+        near = self.near(*counted(text, self.of))
+        if not near:
             return self.rate, ""
-        if (known := self.cache.get(found)) is None:
-            logit, near = self.vote(found)
-            evidence = ",".join(f"{self.examples[i][0]}:{self.examples[i][1]}:{c:.4f}" for i, c in near[:EVIDENCE])
-            known = (float(1 / (1 + np.exp(-(self.slope * logit + self.shift)))), evidence)
-            if len(self.cache) > 50_000:
-                self.cache.clear()
-            self.cache[found] = known
-        return known
-
-
-def unit(found, idf: np.ndarray) -> dict[int, float]:
-    norm = float(np.sqrt((idf[list(found)] ** 2).sum()))
-    return {t: float(idf[t]) / norm for t in found}
+        evidence = ",".join(f"{self.examples[i][0]}:{self.examples[i][1]}:{c:.4f}" for i, c in near[:EVIDENCE])
+        return float(1 / (1 + np.exp(-(self.slope * self.vote(near) + self.shift)))), evidence
 
 
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model | None:
-    """Learn from labelled rows whose crc32(doc_id) modulo FOLDS isn't HELD."""
+    """Learn from labelled rows whose crc32(doc_id) modulo FOLDS isn't HELD; a quarter of them calibrates."""
     from_ = crc_fold("doc_id", FOLDS) != HELD
-    rows = labelled(docs, labels, "toxic", from_, per_class)
-    rows = rows.withColumn("apart", F.expr("pmod(xxhash64(doc_id, 7), 4) = 0"))
-
-    @F.pandas_udf("array<string>")
-    def distinct(texts: pd.Series) -> pd.Series:
-        return pd.Series([sorted(terms(t)) for t in texts], dtype=object)
 
-    sizes = {bool(r.y): r.n for r in rows.where("not apart").groupBy("y").agg(F.count("*").alias("n")).collect()}
-    if len(sizes) < 2:
+    @F.pandas_udf("hashes binary, times binary")
+    def terms(texts: pd.Series) -> pd.DataFrame:
+        of = _Terms()
+        made = [counted(t, of) for t in texts]
+        return pd.DataFrame({"hashes": [h.tobytes() for h, _ in made], "times": [t.astype(np.int32).tobytes() for _, t in made]})
+
+    rows = labelled(docs, labels, "toxic", from_, per_class).select("doc_id", "y", F.expr("pmod(xxhash64(doc_id, 7), 4) = 0").alias("apart"), terms("text").alias("t"))
+    got = sorted((r.doc_id, r.y, r.apart, bytes(r.hashes), bytes(r.times)) for r in rows.select("doc_id", "y", "apart", "t.*").collect())
+    made = [(d, y, apart, np.frombuffer(h, np.uint64), np.frombuffer(t, np.int32).astype(float)) for d, y, apart, h, t in got]
+    del got
+    examples, others = ([(d, y, h, t) for d, y, apart, h, t in made if apart == side] for side in (False, True))
+    if len({e[1] for e in examples}) < 2:
         return None
-    ones, zeros = sizes[True], sizes[False]
-    a, b = F.col("ones"), F.col("zeros")
-    n, f1, f0 = ones + zeros, (a + 0.5) / ones, (b + 0.5) / zeros
-    cell = lambda seen, side, total: seen * F.log(F.greatest(seen, F.lit(1e-9)) * n / (side * total))
-    with_, without = a + b, n - a - b
-    g2 = 2 * (cell(a, with_, F.lit(ones)) + cell(b, with_, F.lit(zeros)) + cell(ones - a, F.greatest(without, F.lit(1)), F.lit(ones)) + cell(zeros - b, F.greatest(without, F.lit(1)), F.lit(zeros)))
-    used = rows.where("not apart").select("y", F.explode(distinct("text")).alias("term")).groupBy("term").agg(F.sum("y").alias("ones"), F.sum(1 - F.col("y")).alias("zeros"))
-    kept = used.where((a + b >= LEAST_ROWS) & (F.greatest(f1 / f0, f0 / f1) >= LIFT)).withColumn("g2", g2).where(F.col("g2") >= LEAST_G2)
-    top = kept.orderBy(F.desc("g2"), "term").limit(MOST_TERMS).collect()
-    vocabulary = {r.term: i for i, r in enumerate(top)}
-    idf = np.log((1 + n) / (1 + np.array([r.ones + r.zeros for r in top], float))) + 1
-
-    empty = Model(vocabulary, idf, [])
-
-    @F.pandas_udf("array<int>")
-    def found(texts: pd.Series) -> pd.Series:
-        return pd.Series([list(empty.found(t)) for t in texts], dtype=object)
-
-    got = sorted((r.doc_id, r.y, r.apart, tuple(r.c)) for r in rows.select("doc_id", "y", "apart", found("text").alias("c")).collect())
-    model = Model(vocabulary, idf, [(d, y, unit(c, idf)) for d, y, apart, c in got if not apart])
     totals = {r.y: r.n for r in labels.where(from_ & F.col("toxic").isin(0, 1)).groupBy(F.col("toxic").alias("y")).agg(F.count("*").alias("n")).collect()}
-    seen = Counter(y for _, y, _, _ in got)
-    model.calibrate([(c, y) for _, y, apart, c in got if apart] or [(c, y) for _, y, _, c in got], tuple(totals.get(y, 1) / max(1, seen[y]) for y in (0, 1)))
+    seen = Counter(y for _, y, *_ in made)
+    share = tuple(totals.get(y, 1) / max(1, seen[y]) for y in (0, 1))
+    model = Model(examples, share)
+    model.calibrate(others or examples, share)
+    # What a search needs of an example is in the index; its name and label stay.
+    model.examples = [(d, y) for d, y, _, _ in examples]
     return model
 
 

@@ -1,6 +1,8 @@
 """Held-out accuracy of the fitted operators, exactness of the nearest-neighbour search, and awkward rows."""
 
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -47,13 +49,59 @@ def test_toxicity(spark, docs):
     wrong = [got[d].predicted for d in held if toxic[d] == 0]
     assert all(got[d].held_out for d in held) and np.mean(hit) > 0.85 and np.mean(wrong) < 0.01
     assert got[1_000_001].score == got[1_000_002].score == model.rate and got[1_000_001].predicted == 0
-    idf = model.idf
-    rng = np.random.default_rng(3)
-    for _ in range(50):
-        query = toxicity.unit(sorted(rng.choice(len(idf), 5, replace=False).tolist()), idf)
-        all_ = sorted((-round(sum(w * e[2].get(t, 0) for t, w in query.items()), 9), i) for i, e in enumerate(model.examples))
-        want = [-s for s, _ in all_[: toxicity.NEIGHBOURS] if s < 0]
-        assert np.allclose([c for _, c in model.index.search(query, toxicity.NEIGHBOURS)], want)
+
+
+def brute_scores(texts, examples, share, model):
+    """Scores by cosines over dictionaries of terms with all examples, sorted; votes and the model's calibration follow."""
+
+    def counts(text):
+        out = Counter()
+        for w in toxicity.WORD(text.lower()):
+            out.update((kind, w[:kind] if kind else w) for kind in toxicity.KINDS if len(w) > kind)
+        return out
+
+    bags = [(d, y, counts(t)) for d, y, t in examples]
+    seen, n = Counter(), sum(share[y] for _, y, _ in bags)
+    for _, y, bag in bags:
+        seen.update(dict.fromkeys(bag, share[y]))
+
+    def vector(bag):
+        weight = {t: (0 if seen[t] > toxicity.STOP * n else math.log((1 + n) / (1 + seen[t])) + 1) * c * c for t, c in bag.items()}
+        norm = math.sqrt(sum(w * w for w in weight.values())) or 1
+        return {t: w / norm for t, w in weight.items() if w and t in seen}
+
+    vectors = [vector(bag) for _, _, bag in bags]
+    out = []
+    for text in texts:
+        q = vector(counts(text))
+        cosines = sorted(((-round(sum(w * v.get(t, 0) for t, w in q.items()), 12), i) for i, v in enumerate(vectors)))
+        near = [(-c, i) for c, i in cosines[: toxicity.NEIGHBOURS] if c < 0]
+        sums = [toxicity.PRIOR] * 2
+        for c, i in near:
+            sums[bags[i][1]] += 1 / (1.1 - min(1, c))
+        out.append((1 / (1 + math.exp(-(model.slope * math.log(sums[1] / sums[0]) + model.shift))) if near else model.rate, near))
+    return out
+
+
+@pytest.mark.parametrize("first", [4, 1])
+def test_toxicity_is_exact(spark, monkeypatch, first):
+    monkeypatch.setattr(toxicity, "AT_FIRST", first)
+    small = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text").union(spark.createDataFrame([*((d, t) for d, t, *_ in ODD), (1_000_006, "a a a a b")], "doc_id long, text string"))
+    labels = table(spark, "/root/testdata/sf0.001", "labels")
+    model = toxicity.learn(small, labels)
+    text = {r.doc_id: r.text or "" for r in small.collect()}
+    of = toxicity._Terms()
+    totals = Counter(r.toxic for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.toxic is not None)
+    learned = toxicity.labelled(small, labels, "toxic", toxicity.crc_fold("doc_id", 3) != 1, toxicity.PER_CLASS).collect()
+    share = tuple(totals[y] / sum(r.y == y for r in learned) for y in (0, 1))
+    want = brute_scores(text.values(), [(d, y, text[d]) for d, y in model.examples], share, model)
+    assert len(model.examples) > 20
+    for t, (score, near) in zip(text.values(), want):
+        found = model.near(*toxicity.counted(t, of))
+        assert np.allclose([c for _, c in found], [c for c, _ in near], atol=2e-5) and len(found) == len(near)
+        # Equal cosines may come in either order where they differ beyond the digits compared.
+        if len({round(c, 4) for c, _ in near}) == len(near):
+            assert abs(model.score(t)[0] - score) < 1e-3
 
 
 def test_quality(spark, docs):
