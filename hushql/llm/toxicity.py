@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from hushql.llm.common import crc_fold, labelled, whole_text
 
 FOLDS, HELD = 3, 1
-PER_CLASS = 3000
+PER_CLASS = 1500
 STOP = 0.05
 NEIGHBOURS = 15
 BLOCK = 32
@@ -211,6 +211,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     totals = {r.y: r.n for r in labels.where(from_ & F.col("toxic").isin(0, 1)).groupBy(F.col("toxic").alias("y")).agg(F.count("*").alias("n")).collect()}
     seen = Counter(y for _, y, *_ in made)
     share = tuple(totals.get(y, 1) / max(1, seen[y]) for y in (0, 1))
+    del made
     model = Model(examples, share)
     model.calibrate(others or examples, share)
     # What a search needs of an example is in the index; its name and label stay.
