@@ -1,6 +1,7 @@
 """Held-out accuracy of the fitted operators, exactness of the nearest-neighbour search, and awkward rows."""
 
 import math
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -51,6 +52,33 @@ def test_toxicity(spark, docs):
     assert got[1_000_001].score == got[1_000_002].score == model.rate and got[1_000_001].predicted == 0
 
 
+def plain_language(text, model):
+    """Probabilities from the mean of the table over all runs of two to four code points, one run at a time."""
+    code = [ord(ch) if unicodedata.category(ch)[0] in "LM" else 32 for ch in f" {text.lower()} "]
+    total, n = np.zeros(len(model.languages)), 0
+    for size in langid.SIZES:
+        for at in range(len(code) - size + 1):
+            run = code[at : at + size]
+            if 32 in run[1:-1] or run[0] == run[-1] == 32:
+                continue
+            h = size
+            for k, x in enumerate(run):
+                h = (h ^ x) * int(langid.PRIMES[k]) & 0xFFFFFFFF
+                h ^= h >> 15
+            total += model.table[h % langid.BUCKETS]
+            n += 1
+    e = np.exp(total / max(n, 1) / model.temperature - (total / max(n, 1) / model.temperature).max())
+    return e / e.sum()
+
+
+def test_language_by_hand(spark, docs):
+    model = langid.learn(docs)
+    texts = [r.text for r in docs.where("length(text) between 1 and 3000").limit(60).collect()] + ["x", "漢字 é\U0001d400", "İstanbul a", "ab  cd-e"]
+    got = model.scores(texts)[0]
+    for t, p in zip(texts, got):
+        assert np.allclose(p, plain_language(t, model), atol=1e-5), t
+
+
 def brute_scores(texts, examples, share, model):
     """Scores by cosines over dictionaries of terms with all examples, sorted; votes and the model's calibration follow."""
 
@@ -113,6 +141,13 @@ def test_quality(spark, docs):
     assert np.mean([got[d].predicted == good[d] for d in held]) > 0.95 and len(model.rules) < 80
     assert np.mean([got[d].predicted for d in held if good[d] == 1]) > 0.98
     assert 0 <= got[1_000_001].score <= 1 and got[1_000_001].score == got[1_000_002].score
+    # The compiled columns are the model's own rules and weights, read in numpy.
+    stats = docs.select("doc_id", *[c.alias(n) for n, c in quality.statistics(quality.whole_text()).items()]).collect()
+    by_hand = model.score(np.array([[r[n] for n in quality.NAMES] for r in stats], float))
+    assert np.allclose([got[r.doc_id].score for r in stats], by_hand, atol=1e-9)
+    for rule in model.rules[:10]:
+        held_ = rule.holds(np.array([[r[n] for n in quality.NAMES] for r in stats], float))
+        assert all(held_[i] == all((r[quality.NAMES[f]] <= bar) == low for f, low, bar in rule.parts) for i, r in enumerate(stats))
 
 
 def test_no_labels(spark, docs):
