@@ -281,6 +281,28 @@ def _greedy(spec_keys: list[str], n_inst: int, leg: str):
     return assign
 
 
+def assigned(low: DataFrame, spec: Spec, leg: str) -> DataFrame:
+    """Contributions of identifiers from rows (keys, inst, v, h) of low values, each value given to one identifier.
+
+    Identifiers and values that reach each other are settled on their own. Where an identifier shares no value, it gets all
+    that it has; where a value's identifiers have no other, the least of them gets it. Both are counts. Only identifiers
+    of several values that share some go through the turns, in Python.
+    """
+    by = [*spec.keys, "inst"]
+    aids = low.groupBy(*by, "h").agg(F.count("*").alias("n_values"))
+    rows = joined(low, aids, [*by, "h"])
+    values = rows.groupBy(*by, "v").agg(F.count("*").alias("n_aids"), F.max("n_values").alias("most_values"), F.min(F.struct(F.expr("h ^ shiftleft(1L, 63)"), "h"))["h"].alias("least"))
+    rows = joined(rows, values, [*by, "v"])
+    shares = rows.groupBy(*by, "h").agg(F.max("n_aids").alias("most_aids"), F.count("*").cast("double").alias("c"))
+    made = lambda x: x.select(*by, F.lit(leg).alias("leg"), "h", "c")
+    alone = made(shares.where("most_aids = 1"))
+    single = made(values.where("n_aids > 1 and most_values = 1").select(*by, F.col("least").alias("h"), F.lit(1.0).alias("c")))
+    rest = joined(rows.where("most_values > 1"), shares.where("most_aids > 1").select(*by, "h"), [*by, "h"])
+    schema = ", ".join([*(f"{k} {t}" for k, t in zip(spec.labels, spec.label_types)), "star boolean", "inst int", "leg string", "h bigint", "c double"])
+    turns = rest.select(*by, "v", "h").groupBy(*spec.keys).applyInPandas(_greedy(spec.keys, len(spec.aid_types), leg), schema)
+    return alone.unionByName(single).unionByName(turns)
+
+
 def distinct_values(i: int, f: Family, spec: Spec, routing: Routing | None) -> tuple[DataFrame, DataFrame]:
     """Counts of values that enough entities have, and contributions from the others.
 
@@ -297,8 +319,7 @@ def distinct_values(i: int, f: Family, spec: Spec, routing: Routing | None) -> t
     own = len(spec.aid_types) == 1 and f.aid == 0 and f.bin == 0
     if own:
         return high, low.groupBy(*spec.keys, "inst", "h").agg(F.lit(1.0).alias("c")).select(*spec.keys, "inst", F.lit(f"f{i}").alias("leg"), "h", "c")
-    schema = ", ".join([*(f"{k} {t}" for k, t in zip(spec.labels, spec.label_types)), "star boolean", "inst int", "leg string", "h bigint", "c double"])
-    return high, low.groupBy(*spec.keys).applyInPandas(_greedy(spec.keys, len(spec.aid_types), f"f{i}"), schema)
+    return high, assigned(low.where("h is not null").select(*spec.keys, "inst", "v", "h"), spec, f"f{i}")
 
 
 def histogram(i: int, f: Family, spec: Spec, routing: Routing | None) -> DataFrame:

@@ -145,3 +145,34 @@ def test_order_of_rows_and_partitions_changes_nothing(spark, catalog):
     before = ask(s, "SELECT city, count(*), sum(id) FROM test_customers GROUP BY 1")
     spark.table("test_customers").orderBy("discount").repartition(5).createOrReplaceTempView("test_customers")
     assert ask(s, "SELECT city, count(*), sum(id) FROM test_customers GROUP BY 1") == before
+
+
+def test_low_values_by_turns(spark):
+    """Identifiers that share values or none, in several groups: the settled parts and the rest are those of the turns alone."""
+    import random
+
+    import pandas as pd
+
+    from hushql.operators import program
+
+    rng = random.Random(8)
+    rows = set()
+    for group in ("a", "b", None):
+        for inst in (0, 1):
+            for aid in range(40):
+                h = rng.getrandbits(64) - (1 << 63)
+                kind = rng.choice(["own", "one", "mixed"])
+                for k in range(1 if kind == "one" else rng.choice([1, 2, 5])):
+                    rows.add((group, False, inst, f"{aid}-{k}" if kind == "own" else f"one {rng.randrange(6)}" if kind == "one" else f"mixed {rng.randrange(40)}", h))
+    rows = sorted(rows, key=str)
+    low = spark.createDataFrame(rows, "l0 string, star boolean, inst int, v string, h long").repartition(3)
+    spec = program.Spec(None, ["string"], ["bigint", "bigint"], [], None)
+    got = sorted((tuple(r) for r in program.assigned(low, spec, "f0").collect()), key=str)
+    turns = program._greedy(["l0", "star"], 2, "f0")
+    want = []
+    for group in ("a", "b", None):
+        frame = pd.DataFrame([r for r in rows if r[0] == group], columns=["l0", "star", "inst", "v", "h"])
+        want += [(group, False, int(r.inst), r.leg, int(r.h), float(r.c)) for r in turns(frame).itertuples()]
+    key = lambda r: str(tuple(r[i] for i in (0, 2, 4)))
+    have = sorted(((r[0], r[1], r[2], r[3], r[4], r[5]) for r in got), key=key)
+    assert have == sorted(want, key=key)
