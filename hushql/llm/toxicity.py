@@ -1,6 +1,6 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Terms are all words and all their first four to seven letters, hashed to 64 bits. A term weighs the square of its
+Terms are all words, their first four and their first seven letters, hashed to 64 bits. A term weighs the square of its
 frequency times its inverse document frequency, and a text's norm is that of the whole text. Terms in more than STOP of
 the texts are stop words and weigh nothing; terms that no example has count as seen in none. Examples stand in an inverted
 index whose blocks of BLOCK examples know each term's largest weight: a search scores blocks from the highest bound down
@@ -29,15 +29,15 @@ FOLDS, HELD = 3, 1
 PER_CLASS = 1500
 STOP = 0.05
 NEIGHBOURS = 15
-BLOCK = 32
+BLOCK = 256
 #: Blocks that a search scores before it looks at the bounds again.
-AT_FIRST = 4
+AT_FIRST = 2
 PRIOR = 0.2
 TOXIC_FROM = 0.7
 WORD = re.compile(r"\w+").findall
 EVIDENCE = 3
 #: Lengths of the beginnings that are terms beside the whole word (0).
-KINDS = (0, 4, 5, 6, 7)
+KINDS = (0, 4, 7)
 #: Distinct words whose terms a worker keeps; beyond it they are forgotten and found again.
 CACHE = 200_000
 
