@@ -54,7 +54,8 @@ def bounded_sample(rows: DataFrame, group: str, most: Column | int, *key: str) -
     """
     kept, most = rows.columns, F.lit(most) if isinstance(most, int) else most
     sizes = rows.groupBy(F.col(group).alias("group_")).agg(F.count("*").alias("n_"))
-    rows = rows.withColumn("hash_", F.xxhash64(*key, F.lit(42))).join(sizes, F.col(group).eqNullSafe(F.col("group_")))
+    # One row a group, as the caller's model has them; without the broadcast all rows, with their texts, would move to be joined.
+    rows = rows.withColumn("hash_", F.xxhash64(*key, F.lit(42))).join(F.broadcast(sizes), F.col(group).eqNullSafe(F.col("group_")))
     rows = rows.where(F.expr("shiftrightunsigned(hash_, 11)") / float(1 << 53) < (2 * most + 20) / F.col("n_")).dropDuplicates([group, "hash_", *key])
     order = Window.partitionBy(group).orderBy("hash_", *key)
     return rows.withColumn("rank_", F.row_number().over(order)).where(F.col("rank_") <= most).select(*kept)
