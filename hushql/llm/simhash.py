@@ -126,9 +126,16 @@ def _compare(bits: int):
     return run
 
 
-def _crowd(rows: DataFrame) -> DataFrame:
+def _split(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Rows at keys of at most ``most`` rows, and the others with their number; sizes are counted where the rows are made."""
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    return rows.join(sizes, "key", "left_anti"), rows.join(sizes, "key")
+
+
+def _meeting(rows: DataFrame) -> DataFrame:
+    """Rows of keys at which a fingerprint at home meets another; ``rows`` has no large key."""
     w = Window.partitionBy("key")
-    return rows.select("*", F.count("*").over(w).alias("n"), F.sum(F.col("home").cast("int")).over(w).alias("at_home")).where("n > 1 and at_home > 0")
+    return rows.select("*", F.count("*").over(w).alias("m"), F.max("home").over(w).alias("at_home")).where("m > 1 and at_home")
 
 
 def _met(rows: DataFrame, bits: int) -> DataFrame:
@@ -145,16 +152,16 @@ def linked(prints: DataFrame, bits: int = BITS) -> DataFrame:
     if not 0 <= bits <= 3:
         raise ValueError("two parts cover thresholds up to three bits")
     rows = prints.select("fp", F.explode(F.expr(f"concat({_anchors(0)}, {_anchors(1)})")).alias("at")).select("fp", "at.*")
-    first = _crowd(rows)
-    found = _met(first.where(f"n <= {CROWDED}"), bits)
+    few, many = _split(rows, CROWDED)
+    found = _met(_meeting(few), bits)
     other = "if(key < 2147483648L, shiftrightunsigned(fp, 31), (fp & 2147483647L) | shiftleft(shiftrightunsigned(fp, 62), 31))"
     quarter = f"transform(sequence(0, 3), j -> xxhash64(key, j, shiftrightunsigned({other}, j * 8) & if(j = 3, 511L, 255L)))"
-    again = _crowd(first.where(f"n > {CROWDED}").select("fp", "home", F.explode(F.expr(quarter)).alias("key")))
-    found = found.union(_met(again.where(f"n <= {CROWDED}"), bits))
+    few, many = _split(many.select("fp", "home", F.explode(F.expr(quarter)).alias("key")), CROWDED)
+    found = found.union(_met(_meeting(few), bits))
     blocks = F.expr(f"cast(ceil(n / {BLOCK}) as int)")
-    crowded = again.where(f"n > {CROWDED}").select("fp", "home", "key", blocks.alias("m")).withColumn("c", F.expr("cast(pmod(xxhash64(fp), m) as int)"))
+    crowded = many.select("fp", "home", "key", blocks.alias("m")).withColumn("c", F.expr("cast(pmod(xxhash64(fp), m) as int)"))
     pairs = crowded.select("fp", "home", F.explode(F.expr("transform(sequence(0, m - 1), j -> xxhash64(key, least(c, j), greatest(c, j)))")).alias("key"))
-    return found.union(_met(_crowd(pairs), bits)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return found.union(_met(_meeting(pairs), bits)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def dedup(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
