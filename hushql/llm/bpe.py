@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushql.llm.common import whole_text
+from hushql.llm.common import small_batches, whole_text
 
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Distinct pre-tokens whose ids a worker keeps; beyond it they are forgotten and found again.
@@ -229,4 +229,5 @@ def vocabulary() -> str:
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and ids of every row's whole text."""
+    small_batches(docs)
     return docs.select("doc_id", encoded(path or vocabulary(), whole_text()).alias("made")).select("doc_id", "made.*")

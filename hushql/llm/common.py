@@ -8,6 +8,10 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Rows with a text that go to a Python worker at once.
+BATCH = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -40,6 +44,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_batches(df: DataFrame) -> None:
+    """Texts go to Python workers BATCH at a time, unless the session asks for another number than Spark's own.
+
+    Spark's 10,000 rows are made for numbers: of texts they take hundreds of MB in the executor, in the worker and between.
+    """
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+
+
 def crc_fold(column: str, folds: int) -> Column:
     """crc32 of the key as text, modulo the number of folds; a null key counts as the empty string."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % folds

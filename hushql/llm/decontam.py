@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushql.llm.common import cut, whole_text
+from hushql.llm.common import cut, small_batches, whole_text
 
 SEED_WORDS = 5
 COVERED = 0.8
@@ -277,6 +277,7 @@ def joined_leaks(texts: DataFrame, items: DataFrame, covered: float = COVERED) -
 
 def leaking(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED) -> DataFrame:
     """doc (all columns of ``docs``) and leaks, an array of what leaks into each row's whole text."""
+    small_batches(docs)
     rows = docs.select(F.struct(*docs.columns).alias("doc"), whole_text().alias("text"))
     benchmark = benchmark.select("item_id", "text").where(F.length("text") > 0)
     total = benchmark.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]

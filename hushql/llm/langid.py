@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushql.llm.common import bounded_sample, crc_fold, whole_text
+from hushql.llm.common import bounded_sample, crc_fold, small_batches, whole_text
 
 BUCKETS = 1 << 15
 DIM = 12
@@ -171,6 +171,7 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     Workers hash the sampled texts; the driver gets at most BUCKETS counts for each, whole and for a short middle part
     that stands for short texts.
     """
+    small_batches(docs)
     rows = docs.select("doc_id", "lang", whole_text().alias("text"), crc_fold("doc_id", FOLDS).alias("fold")).where("fold <> 0 and lang is not null")
     languages = rows.select("lang").distinct().count()
     rows = bounded_sample(rows.withColumn("text_hash", F.xxhash64("text")), "lang", max(1, min(per_language, MOST_ROWS // max(1, languages))), "doc_id", "text_hash")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hushql.llm.common import cut, whole_text
+from hushql.llm.common import cut, small_batches, whole_text
 from hushql.llm.components import components
 
 WORDS = 3
@@ -166,6 +166,7 @@ def linked(prints: DataFrame, bits: int = BITS) -> DataFrame:
 
 def dedup(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
     """doc_id, fp long, fingerprint (16 hex digits), component_id of every row of ``docs``."""
+    small_batches(docs)
     prints = cut(docs.select("doc_id", simhash(whole_text(), words).alias("fp")))
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
     roots = components(linked(least.select("fp"), bits))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushql.llm.common import crc_fold, labelled, whole_text
+from hushql.llm.common import crc_fold, labelled, small_batches, whole_text
 
 FOLDS, HELD = 3, 1
 PER_CLASS = 1500
@@ -194,6 +194,7 @@ class Model:
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model | None:
     """Learn from labelled rows whose crc32(doc_id) modulo FOLDS isn't HELD; a quarter of them calibrates."""
     from_ = crc_fold("doc_id", FOLDS) != HELD
+    small_batches(docs)
 
     @F.pandas_udf("hashes binary, times binary")
     def terms(texts: pd.Series) -> pd.DataFrame:
