@@ -60,6 +60,9 @@ def call(name: str, args: list[str], kinds: list[str]) -> str:
 
 
 def register(spark: SparkSession) -> None:
-    """The stepped functions for use over anonymized results."""
+    """The stepped functions for use over anonymized results, once for each Spark session."""
+    if spark.conf.get("spark.hushql.registered", "") == "true":
+        return
+    spark.conf.set("spark.hushql.registered", "true")
     for name, fn in STEPPED.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(v DOUBLE, k DOUBLE) RETURNS DOUBLE RETURN if(k <= 0, null, {fn}(v / k) * k)")

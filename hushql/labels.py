@@ -54,7 +54,8 @@ class Catalog:
         """Replace the stored labels; a reader sees the old file or the new one."""
         if self.folder is None:
             return
-        kept = {"tables": self.tables, "aids": self.aids, "closed": {t: sorted(cs) for t, cs in self.closed.items()}, "roles": {r: v.label for r, v in self.roles.items()}, "salt": self.salt}
+        closed, roles = {t: sorted(cs) for t, cs in self.closed.items()}, {r: v.label for r, v in self.roles.items()}
+        kept = {"tables": self.tables, "aids": self.aids, "closed": closed, "roles": roles, "salt": self.salt}
         path, system = self._file()
         new = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/labels-{uuid.uuid4().hex}.new")
         out = system.create(new, True)

@@ -113,6 +113,8 @@ def low_count(rows: DataFrame, keys: list[str], spec: Spec) -> DataFrame:
     looked = " or ".join(f"{c} <=> -1D" for c in rows.columns if c not in (*keys, "inst", "aid", "h"))
     seen = rows.groupBy(*keys, "inst").agg(F.expr(f"count(if({looked}, null, aid)) as n"), F.bit_xor("h").alias("seed"))
     enough = F.expr(f"n >= {H.threshold('coalesce(seed, 0L)', spec.config)}")
+    if len(spec.aid_types) == 1:
+        return seen.select(*keys, (~enough).alias("low"))
     return seen.groupBy(*keys).agg((F.sum(enough.cast("int")) < len(spec.aid_types)).alias("low"))
 
 
@@ -162,8 +164,11 @@ class Routing:
         config = self.spec.config
         if not config.compute_suppress_bin:
             rows = rows.where(~F.col("low"))
-        in_bin = {x: F.lit(config.text_label_for_suppress_bin) if t in ("string",) or t.startswith(("varchar", "char")) else F.lit(None) for x, t in zip(self.labels, self.spec.label_types)}
-        return rows.select(*[F.when(F.col("low"), in_bin[x].cast(t)).otherwise(F.col(x)).alias(x) for x, t in zip(self.labels, self.spec.label_types)], F.col("low").alias("star"), *[c for c in rows.columns if c not in (*self.labels, "low")])
+        keys = []
+        for x, kind in zip(self.labels, self.spec.label_types):
+            in_bin = F.lit(config.text_label_for_suppress_bin if kind.startswith(("string", "varchar", "char")) else None)
+            keys.append(F.when(F.col("low"), in_bin.cast(kind)).otherwise(F.col(x)).alias(x))
+        return rows.select(*keys, F.col("low").alias("star"), *[c for c in rows.columns if c not in (*self.labels, "low")])
 
     def everywhere(self, rows: DataFrame) -> DataFrame:
         """As ``keyed``, for rows that don't yet stand under the merged groups."""
@@ -182,66 +187,82 @@ class Routing:
         return plain.unionByName(bin_rows), keys
 
 
+def grouped(rows: DataFrame, spec: Spec) -> DataFrame:
+    """Rows with their keys as one struct ``g``: never null itself, it joins and is dealt out as it is grouped."""
+    return rows.select(F.struct(*spec.keys).alias("g"), *[c for c in rows.columns if c not in spec.keys])
+
+
 def bucket_seed(spec: Spec) -> str:
-    if spec.config.exact:
-        return "0L"
-    hashes = [H.label_hash(x, t) for x, t in zip(spec.labels, spec.label_types)] + [f"{H.signed(b)}L" for b in spec.base_labels]
-    return f"aggregate(array_distinct(cast(array({', '.join(hashes)}) as array<bigint>)), {H.signed(spec.sql_seed)}L, (a, b) -> a ^ b)" if hashes else f"{H.signed(spec.sql_seed)}L"
+    """SQL over ``g``: what all of a group's noise is seeded with."""
+    own = f"{H.signed(spec.sql_seed)}L"
+    hashes = [H.label_hash(f"g.{x}", t) for x, t in zip(spec.labels, spec.label_types)] + [f"{H.signed(b)}L" for b in spec.base_labels]
+    if spec.config.exact or not hashes:
+        return "0L" if spec.config.exact else own
+    return f"aggregate(array_distinct(cast(array({', '.join(hashes)}) as array<bigint>)), {own}, (a, b) -> a ^ b)"
 
 
 def summable(legs: DataFrame, spec: Spec) -> DataFrame:
-    """(keys, inst, leg, s): flattened sum, flattening and noise of one leg for one identifier instance.
+    """(g, inst, leg, s): flattened sum, flattening and noise of one leg for one identifier instance.
 
-    ``legs`` has (keys, inst, leg, h, c), h null for contributions that no identifier accounts for.
+    ``legs`` has (g, inst, leg, h, c), h null for contributions that no identifier accounts for.
     """
-    c = spec.config
-    keys = [*spec.keys, "inst", "leg"]
-    totals = legs.groupBy(*keys).agg(F.count("h").alias("n"), F.coalesce(F.sum(F.when(F.col("h").isNotNull(), F.col("c"))), F.lit(0.0)).alias("total"), F.coalesce(F.sum(F.when(F.col("h").isNull(), F.col("c"))), F.lit(0.0)).alias("unacc"), F.coalesce(F.bit_xor("h"), F.lit(0)).alias("aid_seed"))
+    c, keys = spec.config, ["g", "inst", "leg"]
+    added = lambda known: F.coalesce(F.sum(F.when(known, F.col("c"))), F.lit(0.0))
+    totals = legs.groupBy(*keys).agg(
+        F.count("h").alias("n"),
+        added(F.col("h").isNotNull()).alias("total"),
+        added(F.col("h").isNull()).alias("unacc"),
+        F.coalesce(F.bit_xor("h"), F.lit(0)).alias("aid_seed"),
+    )
     most = c.outlier_count_max + c.top_count_max
     # Contributions without identifier come last; a filter on them here would reach the scan and read it once more.
     order = Window.partitionBy(*keys).orderBy(F.col("h").isNull(), F.desc("c"), F.desc(F.expr("h ^ shiftleft(1L, 63)")))
     top = legs.withColumn("r", F.row_number().over(order)).where((F.col("r") <= most) & F.col("h").isNotNull())
     top = top.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("r", "c", "h"))).alias("top"))
-    rows = joined(totals, top, keys)
     omin, omax, tmin, tmax = c.outlier_count_min, c.outlier_count_max, c.top_count_min, c.top_count_max
-    rows = rows.where(f"n >= {omin + tmin}").withColumn("adj", F.expr(f"greatest(0, {omax + tmax} - n)"))
-    rows = rows.withColumn("o_cut", F.expr(f"cast(case when adj div 2 > {omax - omin} then {omax - omin} when adj - adj div 2 > {tmax - tmin} then adj - {tmax - tmin} else adj div 2 end as int)"))
-    rows = rows.withColumn("o", F.expr(f"{omax} - o_cut")).withColumn("t", F.expr(f"{tmax} - cast(adj - o_cut as int)"))
+    rows = totals.join(top, keys).where(f"n >= {omin + tmin}")
+    o_range, t_range = omax - omin, tmax - tmin
+    o_cut = f"case when adj div 2 > {o_range} then {o_range} when adj - adj div 2 > {t_range} then adj - {t_range} else adj div 2 end"
     if c.exact or (omin == omax and tmin == tmax):
-        rows = rows.withColumn("n_out", F.lit(omin)).withColumn("n_top", F.lit(tmin))
+        drawn = [f"{omin} AS n_out", f"{tmin} AS n_top"]
     else:
-        rows = rows.withColumn("flat_seed", F.expr("aggregate(slice(top, 1, o + t), 0L, (a, x) -> a ^ x.h)"))
-        rows = rows.withColumn("n_out", F.expr(H.uniform("flat_seed", c.salt, "outlier", str(omin), "o"))).withColumn("n_top", F.expr(H.uniform("flat_seed", c.salt, "top", str(tmin), "t")))
+        flat_seed = "aggregate(slice(top, 1, o + t), 0L, (a, x) -> a ^ x.h) AS flat_seed"
+        out, tops = H.uniform("flat_seed", c.salt, "outlier", str(omin), "o"), H.uniform("flat_seed", c.salt, "top", str(tmin), "t")
+        drawn = [flat_seed, f"{out} AS n_out", f"{tops} AS n_top"]
+    noise = "0D"
+    if c.noise_layer_sd:
+        noise = f"{H.normal(bucket_seed(spec), c.salt, 'noise', 'sd')} + {H.normal('aid_seed', c.salt, 'noise', 'sd')}"
     add = "0D, (a, x) -> a + x.c"
-    rows = rows.withColumn("outliers", F.expr(f"aggregate(slice(top, 1, n_out), {add})")).withColumn("top_avg", F.expr(f"aggregate(slice(top, n_out + 1, n_top), {add}) / n_top"))
-    rows = rows.withColumn("flat", F.expr("greatest(outliers - top_avg * n_out, 0D)")).withColumn("kept", F.expr("total - flat"))
-    rows = rows.withColumn("sd", F.expr(f"{float(c.noise_layer_sd)!r}D * greatest(kept / n, 0.5D * top_avg)"))
-    noise = "0D" if not c.noise_layer_sd else f"{H.normal(bucket_seed(spec), c.salt, 'noise', 'sd')} + {H.normal('aid_seed', c.salt, 'noise', 'sd')}"
-    rows = rows.withColumn("noise", F.expr(noise))
-    made = F.struct("flat", F.expr("kept + greatest(unacc - flat, 0D)").alias("sum"), "sd", F.abs("noise").alias("size"), "noise")
-    return rows.select(*keys, made.alias("s"))
-
-
-def pivoted(legs: DataFrame | None, spec: Spec, names: list[str]) -> DataFrame | None:
-    """(keys, one struct column for each leg and instance)."""
-    if legs is None or not names:
-        return None
-    at = [F.max(F.when((F.col("leg") == name) & (F.col("inst") == i), F.col("s"))).alias(f"{name}_{i}") for name in names for i in range(len(spec.aid_types))]
-    return summable(legs, spec).groupBy(*spec.keys).agg(*at)
+    return rows.selectExpr(
+        *keys, "n", "total", "unacc", "aid_seed", "top",
+        f"greatest(0, {omax + tmax} - n) AS adj", f"cast({o_cut} as int) AS o_cut", f"{omax} - o_cut AS o", f"{tmax} - cast(adj - o_cut as int) AS t", *drawn,
+        f"aggregate(slice(top, 1, n_out), {add}) AS outliers", f"aggregate(slice(top, n_out + 1, n_top), {add}) / n_top AS top_avg",
+        "greatest(outliers - top_avg * n_out, 0D) AS flat", "total - flat AS kept", f"{float(c.noise_layer_sd)!r}D * greatest(kept / n, 0.5D * top_avg) AS sd", f"{noise} AS noise",
+    ).selectExpr(*keys, "named_struct('flat', flat, 'sum', kept + greatest(unacc - flat, 0D), 'sd', sd, 'size', abs(noise), 'noise', noise) AS s")
+
+
+def pivoted(legs: DataFrame, spec: Spec, names: list[str]) -> DataFrame:
+    """(g, one struct column for each leg and instance)."""
+    at = [(name, i) for name in names for i in range(len(spec.aid_types))]
+    own = [F.max(F.when((F.col("leg") == name) & (F.col("inst") == i), F.col("s"))).alias(f"{name}_{i}") for name, i in at]
+    return summable(legs, spec).groupBy("g").agg(*own)
 
 
 def melted(rows: DataFrame, spec: Spec) -> DataFrame | None:
+    """(g, inst, leg, h, c): the contributions by leg."""
     if not spec.legs:
         return None
     each = F.array(*[F.struct(F.lit(name).alias("leg"), F.col(column).alias("c")) for name, column in spec.legs])
-    return rows.select(*spec.keys, "inst", "h", F.explode(each).alias("x_")).select(*spec.keys, "inst", "h", "x_.leg", "x_.c").where("c is not null")
+    rows = grouped(rows, spec).select("g", "inst", "h", F.explode(each).alias("x_"))
+    return rows.select("g", "inst", F.col("x_.leg").alias("leg"), "h", F.col("x_.c").alias("c")).where("c is not null")
 
 
 def across(name: str, spec: Spec, zero: bool = True) -> tuple[str, str, str]:
     """SQL over the instances of a leg: flattened sum by the largest flattening, noise and its SD by the largest SD."""
     parts = [f"{name}_{i}" for i in range(len(spec.aid_types))]
     sums = ", ".join([*(f"if({p} is null, null, named_struct('flat', {p}.flat, 'sum', {p}.sum))" for p in parts), "named_struct('flat', 0D, 'sum', 0D)"])
-    sds = ", ".join([*(f"if({p} is null, null, named_struct('sd', {p}.sd, 'size', {p}.size, 'noise', {p}.noise))" for p in parts), "named_struct('sd', 0D, 'size', 0D, 'noise', 0D)"])
+    noises = [f"if({p} is null, null, named_struct('sd', {p}.sd, 'size', {p}.size, 'noise', {p}.noise))" for p in parts]
+    sds = ", ".join([*noises, "named_struct('sd', 0D, 'size', 0D, 'noise', 0D)"])
     return f"array_max(array({sums})).sum", f"array_max(array({sds})).noise", f"array_max(array({sds})).sd"
 
 
@@ -291,7 +312,8 @@ def assigned(low: DataFrame, spec: Spec, leg: str) -> DataFrame:
     by = [*spec.keys, "inst"]
     aids = low.groupBy(*by, "h").agg(F.count("*").alias("n_values"))
     rows = joined(low, aids, [*by, "h"])
-    values = rows.groupBy(*by, "v").agg(F.count("*").alias("n_aids"), F.max("n_values").alias("most_values"), F.min(F.struct(F.expr("h ^ shiftleft(1L, 63)"), "h"))["h"].alias("least"))
+    least = F.min(F.struct(F.expr("h ^ shiftleft(1L, 63)"), "h"))["h"]
+    values = rows.groupBy(*by, "v").agg(F.count("*").alias("n_aids"), F.max("n_values").alias("most_values"), least.alias("least"))
     rows = joined(rows, values, [*by, "v"])
     shares = rows.groupBy(*by, "h").agg(F.max("n_aids").alias("most_aids"), F.count("*").cast("double").alias("c"))
     made = lambda x: x.select(*by, F.lit(leg).alias("leg"), "h", "c")
@@ -338,17 +360,21 @@ def histogram(i: int, f: Family, spec: Spec, routing: Routing | None) -> DataFra
     def bins(at: list[str], source: DataFrame) -> DataFrame:
         seen = source.select(*at, "inst", "aid", "h").distinct().groupBy(*at, "inst").agg(F.count("aid").alias("n"), F.coalesce(F.bit_xor("h"), F.lit(0)).alias("seed"))
         enough = F.expr(f"n >= {H.threshold('seed', c)}").cast("int")
-        return seen.groupBy(*at).agg((F.sum(enough) == n).alias("high"), F.max(F.when(F.col("inst") == f.aid, F.col("n"))).alias("n"), F.max(F.when(F.col("inst") == f.aid, F.col("seed"))).alias("seed"))
+        own = lambda name: F.max(F.when(F.col("inst") == f.aid, F.col(name))).alias(name)
+        return seen.groupBy(*at).agg((F.sum(enough) == n).alias("high"), own("n"), own("seed"))
 
     sd = f"{float(c.noise_layer_sd)!r}D"
-    noise = "0D" if not c.noise_layer_sd else f"{H.normal(bucket_seed(spec), c.salt, 'count_histogram', sd)} + {H.normal('seed', c.salt, 'count_histogram', sd)}"
+    noise = "0D"
+    if c.noise_layer_sd:
+        noise = f"{H.normal('group_seed', c.salt, 'count_histogram', sd)} + {H.normal('seed', c.salt, 'count_histogram', sd)}"
+    seeded = lambda x: x.withColumn("g", F.struct(*spec.keys)).withColumn("group_seed", F.expr(bucket_seed(spec)))
     size = F.expr(f"greatest(cast(round(n + {noise}) as bigint), {c.low_count_min_threshold}L)")
     each = bins([*spec.keys, "bin"], rows)
-    high = each.where("high").select(*spec.keys, "bin", size.alias("size"))
+    high = seeded(each.where("high")).select(*spec.keys, "bin", size.alias("size"))
     low = each.where(~F.col("high")).drop("high", "n", "seed")
     merged = joined(rows, low, [*spec.keys, "bin"])
     several = joined(bins(spec.keys, merged), low.groupBy(*spec.keys).agg(F.count("*").alias("n_bins")), spec.keys)
-    bin_ = several.where("high and n_bins > 1").select(*spec.keys, F.lit(None).cast("bigint").alias("bin"), size.alias("size"))
+    bin_ = seeded(several.where("high and n_bins > 1")).select(*spec.keys, F.lit(None).cast("bigint").alias("bin"), size.alias("size"))
     all_ = high.unionByName(bin_)
     listed = F.transform(F.array_sort(F.collect_list(F.struct(F.col("bin").isNotNull().alias("k"), "bin", "size"))), lambda x: F.array(x["bin"], x["size"]))
     return all_.groupBy(*spec.keys).agg(listed.alias(f"h{i}"))
@@ -368,14 +394,15 @@ def run(spec: Spec) -> DataFrame:
     for i, f in enumerate(spec.families):
         if f.kind == "distinct":
             high, low = distinct_values(i, f, spec, routing)
+            low = grouped(low, spec)
             legs, names = low if legs is None else legs.unionByName(low), [*names, f"f{i}"]
             extra.append(high)
         elif f.kind == "histogram":
             extra.append(histogram(i, f, spec, routing))
-    out = keys
-    for part in [pivoted(legs, spec, names), *extra]:
-        if part is not None:
-            out = joined(out, part, spec.keys, "left")
+    parts = [*([pivoted(legs, spec, names)] if legs is not None else []), *(grouped(part, spec) for part in extra)]
+    out = keys.select("*", F.struct(*spec.keys).alias("g"))
+    for part in parts:
+        out = out.join(part, "g", "left")
     floor = spec.config.low_count_min_threshold if spec.filtered else 0
     made = [*spec.labels, "star"]
     for i, f in enumerate(spec.families):

@@ -16,8 +16,10 @@ from hushql.plans.ir import Block, Expr, Join, Relation
 
 AGGREGATES = {"count", "sum", "avg", "count_noise", "sum_noise", "avg_noise", "count_histogram", "is_suppress_bin"}
 OTHER_AGGREGATES = {
-    "min", "max", "mean", "stddev", "stddev_pop", "stddev_samp", "std", "variance", "var_pop", "var_samp", "first", "last", "any_value", "collect_list", "collect_set", "array_agg", "listagg", "string_agg",
-    "bool_and", "bool_or", "every", "some", "any", "bit_and", "bit_or", "bit_xor", "corr", "covar_pop", "covar_samp", "median", "mode", "percentile", "percentile_approx", "approx_count_distinct", "count_if", "max_by", "min_by", "sum_distinct",
+    "min", "max", "mean", "stddev", "stddev_pop", "stddev_samp", "std", "variance", "var_pop", "var_samp", "first", "last",
+    "any_value", "collect_list", "collect_set", "array_agg", "listagg", "string_agg", "bool_and", "bool_or", "every", "some", "any",
+    "bit_and", "bit_or", "bit_xor", "corr", "covar_pop", "covar_samp", "median", "mode", "percentile", "percentile_approx",
+    "approx_count_distinct", "count_if", "max_by", "min_by", "sum_distinct",
 }
 GENERATORS = {"explode", "explode_outer", "posexplode", "inline", "stack", "generate_series", "unnest_histogram"}
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
@@ -173,7 +175,8 @@ class Compiler:
             while primary.kind == "cast":
                 if primary.name == "string" and not self._type(primary.args[0]).startswith(DATETIME):
                     raise HushError("Unsupported cast destination type name.")
-                if primary.name in ("int", "bigint", "smallint", "tinyint") and self._type(primary.args[0]) in ("float", "double") or self._type(primary.args[0]).startswith("decimal") and primary.name in ("int", "bigint", "smallint"):
+                kind = self._type(primary.args[0])
+                if primary.name in ("int", "bigint", "smallint", "tinyint") and kind.startswith(("float", "double", "decimal")):
                     raise HushError("Primary argument for a generalization function has to be a simple column reference.")
                 primary = primary.args[0]
             if primary.kind != "column":
@@ -371,7 +374,8 @@ class Compiler:
         b = self.block
         self.check()
         conditions, materials, constants = self.where()
-        aggregated = [x for top in [e for e, _ in b.targets] + [e for e, _ in b.sort] + ([b.having] if b.having else []) for x in top.walk() if x.kind == "call" and x.name in AGGREGATES | OTHER_AGGREGATES]
+        shown = [e for e, _ in (*b.targets, *b.sort)] + ([b.having] if b.having else [])
+        aggregated = [x for top in shown for x in top.walk() if x.kind == "call" and x.name in AGGREGATES | OTHER_AGGREGATES]
         named = {alias.lower(): e for e, alias in b.targets if alias}
         group: list[Expr] = []
         explicit = bool(b.group)
@@ -384,7 +388,8 @@ class Compiler:
                 group.append(g)
         expand = not explicit and not aggregated
         if expand:
-            group = [e for e in [*(e for e, _ in b.targets), *(e for e, _ in b.sort if not (e.kind == "column" and e.name in named))] if self._uncast(e).kind != "literal" and e.kind != "ordinal"]
+            ordered = [e for e, _ in b.sort if not (e.kind == "column" and e.name in named)]
+            group = [e for e in [*(e for e, _ in b.targets), *ordered] if self._uncast(e).kind != "literal" and e.kind != "ordinal"]
         labels: dict[tuple, str] = {}
         kept: list[Expr] = []
         for g in group:
@@ -409,13 +414,15 @@ class Compiler:
         sort = [(self.rewritten(b.targets[int(e.value) - 1][0] if e.kind == "ordinal" else e, labels, aliases), order) for e, order in b.sort]
         if expand:
             count = self.family(Family("rows"))
-        select = [f"{self.sql(g)} AS l{i}" for i, g in enumerate(kept)] + [f"{c.sql} AS a{i}" for i, c in enumerate(self.aids)] + [f"{sql} AS {name}" for sql, name in self.args.items()]
+        select = [f"{self.sql(g)} AS l{i}" for i, g in enumerate(kept)] + [f"{c.sql} AS a{i}" for i, c in enumerate(self.aids)]
+        select += [f"{sql} AS {name}" for sql, name in self.args.items()]
         base = self.spark.sql(f"SELECT {', '.join(select)} FROM {self.source(b.source)}" + (f" WHERE {' AND '.join(conditions)}" if conditions else ""))
         types = {f.name: f.dataType.simpleString() for f in base.schema}
         seed = 0
         for material in {*materials, *(self.material(g) for g in kept)}:
             seed ^= H.fnv(material)
-        spec = Spec(base, [types[f"l{i}"] for i in range(len(kept))], [types[f"a{i}"] for i in range(len(self.aids))], self.families, self.config, seed, tuple(constants), bool(kept) or explicit)
+        label_types, aid_types = [types[f"l{i}"] for i in range(len(kept))], [types[f"a{i}"] for i in range(len(self.aids))]
+        spec = Spec(base, label_types, aid_types, self.families, self.config, seed, tuple(constants), bool(kept) or explicit)
         if not self.families:
             spec.families = [Family("rows")]
         out = run(spec)

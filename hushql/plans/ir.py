@@ -93,7 +93,10 @@ def expression(node) -> Expr:
     if kind == "UnresolvedAttribute":
         return Expr("column", ".".join(_seq(node.nameParts())).lower(), **at)
     if kind == "Literal":
-        return Expr("literal", node.dataType().simpleString(), value=None if node.value() is None else node.sql() if node.dataType().simpleString() in ("date", "timestamp", "timestamp_ntz", "time(6)") else str(node.value()), **at)
+        kind_, value = node.dataType().simpleString(), node.value()
+        if value is not None:
+            value = node.sql() if kind_ in ("date", "timestamp", "timestamp_ntz", "time(6)") else str(value)
+        return Expr("literal", kind_, value=value, **at)
     if kind in ("UnresolvedStar", "UnresolvedStarExceptOrReplace"):
         return Expr("star", **at)
     if kind == "UnresolvedOrdinal":
