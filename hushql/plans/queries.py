@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from hushql.config import Config, HushError
 from hushql.labels import Catalog, analyze_filterability
 from hushql.operators.program import plain_histogram
-from hushql.plans.noise_truth import noisy
+from hushql.plans.noise_truth import noisy, noisy_bins
 from hushql.session import Session
 from hushql.sources.tables import load
 
@@ -216,6 +216,11 @@ def _noisy_average() -> tuple[Callable, str]:
     return (lambda spark, sf_dir: Session(spark, load(spark, sf_dir, sql), _noisy_config()).sql(sql)), truth
 
 
+def _noisy_histogram() -> tuple[Callable, str]:
+    sql = "SELECT b[0] AS bin, b[1] AS size FROM (SELECT unnest_histogram(h) AS b FROM (SELECT count_histogram(o_custkey, 2) AS h FROM orders) AS x) AS y"
+    return (lambda spark, sf_dir: Session(spark, load(spark, sf_dir, sql), _noisy_config()).sql(sql)), noisy_bins("orders", "o_custkey", 2, _noisy_config())
+
+
 def _direct(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return Session(spark, load(spark, sf_dir, sql), Config(salt="public benchmark salt")).sql(sql)
 
@@ -654,6 +659,18 @@ def _registry() -> dict[str, tuple[Callable, str | None]]:
             ("customer JOIN nation ON c_nationkey = n_nationkey", "n_name", "c_custkey", ["nation.n_name"], []),
         ),
         "noisy_average": _noisy_average(),
+        "noisy_histogram": _noisy_histogram(),
+        "noisy_two_identifiers": _noisy_q(
+            "SELECT l_returnflag, count(*) AS n, round(count_noise(*), 6) AS sd FROM lineitem GROUP BY 1",
+            "SELECT l0 AS l_returnflag, v AS n, round(sd, 6) AS sd",
+            ("lineitem", "l_returnflag", _LINE, ["lineitem.l_returnflag"], []),
+        ),
+        "noisy_joined_identifiers": _noisy_q(
+            "SELECT c_mktsegment, round(sum(o_totalprice), 1) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1",
+            "SELECT l0 AS c_mktsegment, round(v, 1) AS total",
+            (_CO, "c_mktsegment", ["o_custkey", "c_custkey"], ["customer.c_mktsegment"], []),
+            summed="o_totalprice",
+        ),
         "noisy_counts": _noisy_q(
             "SELECT c_mktsegment, count(*) AS n, count_noise(*) AS sd FROM customer GROUP BY 1",
             "SELECT l0 AS c_mktsegment, v AS n, sd",
