@@ -7,6 +7,7 @@ from dataclasses import fields, replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hushql.config import OPEN, AccessLevel, Config, HushError
 from hushql.functions import scalar
@@ -63,6 +64,8 @@ class Session:
     def sql(self, text: str, args: dict | None = None) -> DataFrame:
         """Run a statement; under anonymized access its blocks over personal tables are answered anonymously."""
         text = self._bound(text, args or {}).strip().rstrip(";")
+        if told := self._setting(text):
+            return told
         if any(name in text.lower() for name in REFUSED_FUNCTIONS) and self.level < AccessLevel.DIRECT:
             if any(c.name.rpartition(".")[2] in REFUSED_FUNCTIONS for c in self._calls(text)):
                 raise HushError("Statement requires direct access level.")
@@ -73,6 +76,20 @@ class Session:
         statement.made |= made
         return statement.run()
 
+    def _setting(self, text: str) -> DataFrame | None:
+        """Answer of SET hush.name = value (or TO) and SHOW hush.name, which change and tell this session's settings."""
+        found = re.fullmatch(r"(?:SHOW\s+hush\.(\w+)|SET\s+hush\.(\w+)\s*(?:=|\s+TO\s)\s*(.+))", text, re.IGNORECASE | re.DOTALL)
+        if not found:
+            return None
+        name = (found[1] or found[2]).lower()
+        if found[2]:
+            kind, value = type(getattr(self.config, name, "")), found[3].strip().strip("'\"")
+            try:
+                self.set(name, value.lower() in ("true", "on", "1") if kind is bool else kind(value))
+            except (KeyError, ValueError) as e:
+                raise e if isinstance(e, HushError) else HushError(f"Invalid value for parameter '{name}': {value}") from e
+        return self.show_settings().where(F.col("name") == name)
+
     def explain(self, text: str, args: dict | None = None, mode: str = "formatted") -> str:
         """Plan of a statement, without the statistics that could tell about personal rows."""
         if mode not in ("simple", "extended", "formatted", "codegen"):
