@@ -151,6 +151,8 @@ def linked(prints: DataFrame, bits: int = BITS) -> DataFrame:
     """
     if not 0 <= bits <= 3:
         raise ValueError("two parts cover thresholds up to three bits")
+    # A small table of fingerprints may stand in a task or two; its anchors are some thirty times as many.
+    prints = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     rows = prints.select("fp", F.explode(F.expr(f"concat({_anchors(0)}, {_anchors(1)})")).alias("at")).select("fp", "at.*")
     few, many = _split(rows, CROWDED)
     found = _met(_meeting(few), bits)
