@@ -67,6 +67,8 @@ class PrefixEncoder:
         self.ranks = ranks
         self.longest = max(map(len, ranks))
         self.bytes_of = {rank: token for token, rank in ranks.items()}
+        #: Ends of tokens: beyond the longest known end before a place, no token ends there.
+        self.ends = {token[k:] for token in ranks for k in range(1, len(token))}
         self._fits: dict[tuple[bytes, bytes], bool] = {}
 
     def merged(self, piece: bytes) -> list[bytes]:
@@ -90,15 +92,16 @@ class PrefixEncoder:
 
     def extend(self, data: bytes, last: list[bytes]) -> list[bytes]:
         """Add to ``last``, which has the last token of each prefix, those of the longer prefixes of ``data``."""
-        ranks, longest, fits = self.ranks, self.longest, self.fits
+        ranks, ends, fits = self.ranks, self.ends, self.fits
         for end in range(len(last) + 1, len(data) + 1):
-            for start in range(max(0, end - longest), end):
+            # One token alone fits, so the order of trying is free: from the shortest, as most last tokens are short.
+            for start in range(end - 1, -1, -1):
                 token = data[start:end]
                 if token in ranks and (start == 0 or fits(last[start - 1], token)):
                     last.append(token)
                     break
-            else:
-                raise ValueError(f"the vocabulary lacks byte {data[end - 1]}")
+                if token not in ends:
+                    raise ValueError(f"the vocabulary lacks byte {data[end - 1]}")
         return last
 
     def walk_back(self, last: list[bytes]) -> list[int]:
