@@ -309,19 +309,18 @@ def assigned(low: DataFrame, spec: Spec, leg: str) -> DataFrame:
     that it has; where a value's identifiers have no other, the least of them gets it. Both are counts. Only identifiers
     of several values that share some go through the turns, in Python.
     """
-    by = [*spec.keys, "inst"]
-    aids = low.groupBy(*by, "h").agg(F.count("*").alias("n_values"))
-    rows = joined(low, aids, [*by, "h"])
+    rows = low.select(F.struct(*spec.keys, "inst").alias("k"), "v", "h")
+    rows = rows.join(rows.groupBy("k", "h").agg(F.count("*").alias("n_values")), ["k", "h"])
     least = F.min(F.struct(F.expr("h ^ shiftleft(1L, 63)"), "h"))["h"]
-    values = rows.groupBy(*by, "v").agg(F.count("*").alias("n_aids"), F.max("n_values").alias("most_values"), least.alias("least"))
-    rows = joined(rows, values, [*by, "v"])
-    shares = rows.groupBy(*by, "h").agg(F.max("n_aids").alias("most_aids"), F.count("*").cast("double").alias("c"))
-    made = lambda x: x.select(*by, F.lit(leg).alias("leg"), "h", "c")
-    alone = made(shares.where("most_aids = 1"))
-    single = made(values.where("n_aids > 1 and most_values = 1").select(*by, F.col("least").alias("h"), F.lit(1.0).alias("c")))
-    rest = joined(rows.where("most_values > 1"), shares.where("most_aids > 1").select(*by, "h"), [*by, "h"])
+    values = rows.groupBy("k", "v").agg(F.count("*").alias("n_aids"), F.max("n_values").alias("most_values"), least.alias("least"))
+    rows = rows.join(values, ["k", "v"])
+    shares = rows.groupBy("k", "h").agg(F.max("n_aids").alias("most_aids"), F.count("*").cast("double").alias("c"))
+    made = lambda x, h, c: x.select("k.*", F.lit(leg).alias("leg"), F.col(h).alias("h"), c.alias("c"))
+    alone = made(shares.where("most_aids = 1"), "h", F.col("c"))
+    single = made(values.where("n_aids > 1 and most_values = 1"), "least", F.lit(1.0))
+    rest = rows.where("most_values > 1").join(shares.where("most_aids > 1").select("k", "h"), ["k", "h"])
     schema = ", ".join([*(f"{k} {t}" for k, t in zip(spec.labels, spec.label_types)), "star boolean", "inst int", "leg string", "h bigint", "c double"])
-    turns = rest.select(*by, "v", "h").groupBy(*spec.keys).applyInPandas(_greedy(spec.keys, len(spec.aid_types), leg), schema)
+    turns = rest.select("k.*", "v", "h").groupBy(*spec.keys).applyInPandas(_greedy(spec.keys, len(spec.aid_types), leg), schema)
     return alone.unionByName(single).unionByName(turns)
 
 
