@@ -23,7 +23,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each component of near copies (five-word shingles, similarity 0.8): that of its least doc_id, then of its least text hash."""
+    """Keeps one row of each component of near copies: that of its least doc_id, then of its least text hash.
+
+    Near copies meet by SimHash fingerprints at anchors or by bands of minima, and have five-word shingles of similarity 0.8.
+    """
     kept = nearcopies.dedup(docs).where("low is not null").groupBy("root").agg(F.min(F.struct("low", "node")).alias("one")).select("one.*")
     # The columns of docs travel as one, so none of them can clash.
     rows = docs.select(F.col("doc_id").alias("id"), nearcopies.node().alias("own"), F.struct(*docs.columns).alias("doc"))

@@ -1,12 +1,14 @@
-"""Near copies by overlap of word shingles: pairs of texts whose five-word shingles have Jaccard similarity SIMILAR or more.
+"""Near copies by SimHash and overlap of word shingles: pairs of texts whose five-word shingles have Jaccard similarity
+SIMILAR or more.
 
-SimHash can't find these: texts of similarity 0.8 differ in up to 17 of 64 bits, and no covering of 64 bits by anchors
-is selective at that radius. Here anchors are bands of minima: ROWS least values under as many hash functions make a key,
-and a text stands at BANDS keys. Two texts of similarity s meet at a key with s ** ROWS, so a pair of similarity 0.8
-misses all with (1 - 0.8 ** 6) ** 36 = 1.8e-5.
+Every text has a SimHash fingerprint of its distinct shingles. Fingerprints within three bits meet by op8's anchor-point
+covering, which loses no such pair. That radius does not reach SIMILAR: texts of similarity 0.8 differ in up to 17 of 64
+bits, and no covering of 64 bits by anchors is selective that far. So pairs that are farther apart meet at bands of minima
+as well: ROWS least values under as many hash functions make a key, and a text stands at BANDS keys. Two texts of
+similarity s meet at a key with s ** ROWS, so a pair of similarity 0.8 misses all with (1 - 0.8 ** 6) ** 36 = 1.8e-5.
 
-Texts that meet are first joined into candidate groups, each text by one link to the least text of a key, so that no pair
-is made. Every group then gathers the shingles of its texts, once each, and all its pairs are counted exactly, as a
+Texts that meet are first joined into candidate groups: each text by one link to the least text of a key or of its fingerprint, and
+fingerprints by a spanning forest of an anchor, so that no square of pairs is made. Every group then gathers the shingles of its texts, once each, and all its pairs are counted exactly, as a
 matrix product. A group of more than ROOM texts or WEIGHT shingles is dealt into blocks, and every two blocks meet in a
 task of their own, so a task's memory has a bound however large a group is. What leaves a task is a spanning forest.
 
@@ -21,6 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hushql.llm import simhash
 from hushql.llm.common import cut, small_batches, whole_text
 from hushql.llm.components import components
 
@@ -124,15 +127,30 @@ def node() -> Column:
     return F.xxhash64(whole_text())
 
 
+def print_of(hashes: np.ndarray) -> int:
+    """The SimHash fingerprint of these shingles, as a signed long."""
+    blocks = (hashes[at : at + CHUNK] for at in range(0, len(hashes), CHUNK))
+    return int(np.uint64(simhash.majority(blocks)).view(np.int64))
+
+
+def anchored(rows: DataFrame) -> DataFrame:
+    """Links (a, b) that join the nodes of ``rows(node, fp)`` whose fingerprints are within simhash.BITS bits."""
+    prints = rows.groupBy("fp").agg(F.min("node").alias("hub"), F.max("node").alias("last"))
+    equal = rows.join(prints.where("hub < last"), "fp").where("node > hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    near = cut(simhash.linked(prints.select("fp")))
+    one, two = prints.select(F.col("fp").alias("a"), F.col("hub").alias("one")), prints.select(F.col("fp").alias("b"), F.col("hub").alias("two"))
+    return equal.union(near.join(one, "a").join(two, "b").select("one", "two"))
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """node, root (the least node of its candidate group) and size (its shingles) of every text that meets another."""
 
-    @F.pandas_udf("keys array<long>, size long")
+    @F.pandas_udf("keys array<long>, fp long, size long")
     def stand(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
-            rows.append((band_keys(own := shingles(t)), len(own)))
-        return pd.DataFrame(rows, columns=["keys", "size"])
+            rows.append((band_keys(own := shingles(t)), print_of(own), len(own)))
+        return pd.DataFrame(rows, columns=["keys", "fp", "size"])
 
     # Equal texts have equal keys, so any of them will do, and each task hands on one.
     rows = docs.select(node().alias("node"), stand(whole_text()).alias("s")).groupBy("node").agg(F.any_value("s").alias("s"))
@@ -140,7 +158,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     at = rows.select("node", F.explode("keys").alias("key"))
     hubs = at.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("key", "hub")
     links = at.join(hubs, "key").where("node > hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    roots = components(links).withColumnRenamed("node", "member")
+    roots = components(links.union(anchored(rows.select("node", "fp")))).withColumnRenamed("node", "member")
     return cut(roots.join(rows, F.col("member") == F.col("node")).select("node", "root", "size"))
 
 

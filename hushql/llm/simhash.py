@@ -13,6 +13,8 @@ links run between distinct fingerprints, and a group's id is its least id that i
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -30,18 +32,24 @@ CROWDED = 4096
 BLOCK = 2048
 
 
+def majority(blocks: Iterable[np.ndarray]) -> int:
+    """Bits set in over half of all unsigned 64-bit hashes; zero for none."""
+    n, counts = 0, np.zeros(64, np.int64)
+    for hashes in blocks:
+        n += len(hashes)
+        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
+
+
 def fingerprint(text: str, words: int = WORDS) -> int:
     """Majority bits of the XXH64 of all shingles of a text, repeats included."""
     parts = text.encode("utf-8", "replace").lower().split()
     if not parts:
         return 0
     n = max(1, len(parts) - words + 1)
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for at in range(0, n, 65536):
-        some = [parts[at + k : at + k + min(n - at, 65536)] for k in range(min(words, len(parts)))]
-        hashes = np.array([digest(b" ".join(s), SEED) for s in zip(*some)], dtype="<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
+    digest = xxhash.xxh64_intdigest
+    blocks = ([parts[at + k : at + k + min(n - at, 65536)] for k in range(min(words, len(parts)))] for at in range(0, n, 65536))
+    return majority(np.array([digest(b" ".join(s), SEED) for s in zip(*some)], dtype="<u8") for some in blocks)
 
 
 def simhash(text: Column, words: int = WORDS) -> Column:

@@ -59,3 +59,28 @@ def test_rows_of_one_id_are_apart(spark):
     got = corpus_pipeline.near_dedup(spark, docs, "").collect()
     assert sorted(r.text for r in got if r.doc_id == 7) == sorted(texts)
     assert sorted(r.doc_id or 0 for r in got) == [0] + [7] * 40
+
+
+def test_simhash_anchors_join_near_copies(spark, monkeypatch):
+    """Without any band keys, texts within three bits of each other's fingerprint still meet at anchors and go."""
+    monkeypatch.setattr(nearcopies, "band_keys", lambda hashes: [])
+    rng = random.Random(3)
+    words, rows = [f"w{i}" for i in range(3000)], []
+    for _ in range(8):
+        text = rng.choices(words, k=1500)
+        rows.append((len(rows) + 1, " ".join(text)))
+        for _ in range(5):
+            copy = list(text)
+            copy[rng.randrange(len(copy))] = rng.choice(words)
+            rows.append((len(rows) + 1, " ".join(copy)))
+    prints = [nearcopies.print_of(nearcopies.shingles(t)) for _, t in rows]
+    bits = lambda x, y: ((prints[x] ^ prints[y]) & (1 << 64) - 1).bit_count()
+    group = list(range(len(rows)))
+    for x in range(len(rows)):
+        for y in range(x):
+            if bits(x, y) <= 3:
+                group = [group[y] if g == group[x] else g for g in group]
+    want = sorted(min(d for (d, _), g in zip(rows, group) if g == k) for k in set(group))
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == want
+    assert any(0 < bits(x, 0) <= 3 for x in range(1, 6)) and len(want) < len(rows) / 2
