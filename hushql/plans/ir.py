@@ -92,6 +92,8 @@ def expression(node) -> Expr:
         return expression(node.child())
     if kind == "UnresolvedAttribute":
         return Expr("column", ".".join(_seq(node.nameParts())).lower(), **at)
+    if kind == "UnresolvedNamedLambdaVariable":
+        return Expr("other", kind, value=".".join(_seq(node.nameParts())).lower(), **at)
     if kind == "Literal":
         kind_, value = node.dataType().simpleString(), node.value()
         if value is not None:
